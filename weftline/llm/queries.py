@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, packing, quality, suffix_dedup, token_counts, url_filter
+from weftline.llm import chat_format, language_id, lm_score, minhash, packing, quality, suffix_dedup, token_counts, url_filter
 from weftline.scratch import new_path
 
 WINDOW = 4096
@@ -37,6 +37,21 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > WINDOW)
 
 
+def _remainder(modulus: int, value: int) -> Column:
+    """Whether crc32 of the document id as text leaves this remainder; a null id is the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == value
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return language_id.identify(_documents(spark, sf_dir), _remainder(3, 1), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base and model score of every document."""
+    return lm_score.score(_documents(spark, sf_dir), _remainder(10, 0))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document."""
     judged = quality.judge(_documents(spark, sf_dir))
@@ -53,13 +68,21 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.remove_repeats(_documents(spark, sf_dir)))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return minhash.near_duplicates(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_chat_format": op2_chat_format,
     "op3_token_counts": op3_token_counts,
+    "op5_language_id": op5_language_id,
+    "op6_lm_score": op6_lm_score,
     "op7_quality_rules": op7_quality_rules,
     "op8_url_filter": op8_url_filter,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLES: dict[str, str] = {
