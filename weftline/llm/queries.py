@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, language_id, lm_score, minhash, packing, quality, suffix_dedup, token_counts, url_filter
+from weftline.llm import chat_format, decontaminate, language_id, lm_score, minhash, packing, quality, suffix_dedup, token_counts, url_filter
 from weftline.scratch import new_path
 
 WINDOW = 4096
@@ -37,6 +38,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > WINDOW)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that leaks into a document."""
+    return decontaminate.find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def _remainder(modulus: int, value: int) -> Column:
     """Whether crc32 of the document id as text leaves this remainder; a null id is the empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == value
@@ -77,12 +83,14 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_chat_format": op2_chat_format,
     "op3_token_counts": op3_token_counts,
+    "op4_decontaminate": op4_decontaminate,
     "op5_language_id": op5_language_id,
     "op6_lm_score": op6_lm_score,
     "op7_quality_rules": op7_quality_rules,
     "op8_url_filter": op8_url_filter,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_minhash": op10_minhash,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {

@@ -338,8 +338,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     return spans.unionByName(refined.mapInArrow(_last_refinement(length, gram), "doc_id long, uid long, start int, stop int"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), tag: str = "") -> DataFrame:
-    """Every row with its repeats cut out: doc_id, uid, kept (the bytes that remain), n_bytes, n_removed, n_spans, and the columns in ``carry``."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), whole_characters: bool = False, tag: str = "") -> DataFrame:
+    """Every row with its repeats cut out: doc_id, uid, kept (the bytes that remain), n_bytes, n_removed, n_spans, and the columns in ``carry``.
+
+    ``whole_characters``: a character that loses a byte goes whole, so what remains is valid UTF-8.
+    """
     spans = repeated_spans(docs, length, gram, id_col, text_col, tag)
     per_doc = spans.groupBy("doc_id", "uid").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     per_doc = per_doc.select(F.col("doc_id").alias("d"), F.col("uid").alias("u"), "starts", "stops")
@@ -358,6 +361,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
             end = np.minimum(offsets[owner] + batch.column(4).flatten().to_numpy(), offsets[owner + 1])
             edge = np.bincount(begin, minlength=len(data) + 1) - np.bincount(end, minlength=len(data) + 1)
             gone = np.cumsum(edge[:-1]) > 0
+            if whole_characters and len(data):
+                lead = np.flatnonzero((data & 0xC0) != 0x80)
+                sizes = np.diff(np.append(lead, len(data)))
+                gone = np.repeat(np.logical_or.reduceat(gone, lead), sizes)
             opens = gone.copy()
             opens[1:] &= ~gone[:-1]
             inner = offsets[:-1][offsets[:-1] < offsets[1:]]
