@@ -1,0 +1 @@
+"""The engine has no streaming operators: its sources are models and whole tables."""
