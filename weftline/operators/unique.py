@@ -88,30 +88,35 @@ def ensure_unique(rows: DataFrame, entity: Entity, seed: int, row_index: str = "
 
 
 def _by_rank(rows: DataFrame, entity: Entity, keys: list, row_index: str, tag: str) -> DataFrame:
-    """The last resort for tight domains: the remaining rows of each key take the lowest free suffixes in row order."""
+    """The last resort for tight domains: what still collides takes free suffixes in row order, as long as some are left.
+
+    Rows whose values leave the same front before a one-digit suffix compete for the same suffixes; the
+    k-th of them takes the k-th free one. Rounds go on while any row finds a place.
+    """
     for key, target in keys:
-        left = materialize(conflicts(rows, key, row_index), "conflicts", tag)
-        count = left.count()
-        if not count:
-            continue
         size = entity.field(target).size
         room = 10 ** (9 if size <= 0 else min(size - 1, 9))
         rest = [k for k in key if k != target]
-        stuck = rows.join(left, row_index, "left_semi")
-        number = F.row_number().over(Window.partitionBy(*rest, target).orderBy(row_index))
-        stuck = stuck.select(row_index, *key, number.alias("_rank"))
-        # As many candidates as could be taken, and one more for each row itself.
-        taken = rows.dropna(subset=list(key)).select(*key).distinct()
-        tries = min(room, rows.count() + count)
-        options = stuck.where("_rank = 1").select(*rest, F.col(target).alias("_value"), F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("_n"))
-        options = options.withColumn(target, ranked(F.col("_value"), size, F.col("_n"))).join(taken, list(key), "left_anti")
-        options = options.dropDuplicates(list(key)).withColumn("_rank", F.row_number().over(Window.partitionBy(*rest, "_value").orderBy("_n")))
-        chosen = stuck.withColumnRenamed(target, "_value").join(options.withColumnRenamed(target, "_new").drop("_n"), [*rest, "_value", "_rank"], "left")
-        chosen = materialize(chosen.select(row_index, "_new"), "chosen", tag)
-        if not chosen.where("_new is null").isEmpty():
-            raise UnsatisfiableUniqueness(f"too few unique values for {entity.name}.{target} after {ROUNDS} rounds")
-        rows = rows.join(chosen, row_index, "left").withColumn(target, F.coalesce("_new", target)).drop("_new")
-        rows = materialize(rows, "repaired", tag)
+        front = F.col(target) if size <= 0 else F.substring(target, 1, max(size - 2, 0))
+        while True:
+            left = materialize(conflicts(rows, key, row_index), "conflicts", tag)
+            count = left.count()
+            if not count:
+                break
+            number = F.row_number().over(Window.partitionBy(*rest, "_front").orderBy(row_index))
+            stuck = rows.join(left, row_index, "left_semi").withColumn("_front", front)
+            stuck = stuck.select(row_index, *rest, F.col(target).alias("_value"), number.alias("_rank"))
+            taken = rows.dropna(subset=list(key)).select(*key).distinct()
+            tries = min(room, rows.count() + count)
+            free = stuck.select(*rest, "_value").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("_n"))
+            free = free.withColumn(target, ranked(F.col("_value"), size, F.col("_n"))).join(taken, list(key), "left_anti")
+            free = free.withColumn("_rank", F.row_number().over(Window.partitionBy(*rest, "_value").orderBy("_n")))
+            chosen = stuck.join(free.withColumnRenamed(target, "_new").drop("_n"), [*rest, "_value", "_rank"])
+            chosen = materialize(chosen.select(row_index, "_new"), "chosen", tag)
+            if chosen.isEmpty():
+                raise UnsatisfiableUniqueness(f"too few unique values for {entity.name}.{target} after {ROUNDS} rounds")
+            rows = rows.join(chosen, row_index, "left").withColumn(target, F.coalesce("_new", target)).drop("_new")
+            rows = materialize(rows, "repaired", tag)
     for key, target in keys:
         if not conflicts(rows, key, row_index).isEmpty():
             raise UnsatisfiableUniqueness(f"could not make {entity.name}.{target} unique")
