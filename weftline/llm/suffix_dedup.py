@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,10 +137,12 @@ def _suffixes(keyed: DataFrame, length: int, gram: int) -> DataFrame:
             who, start, stop = _merge_spans(owner[copies], left[copies] - offsets[owner[copies]], right[copies] - offsets[owner[copies]])
             who = np.concatenate([owner[fresh], who])
             none = np.zeros(len(start), np.int64)
+            # Settled spans pass through the buckets' shuffle; a scattered bucket number spreads them.
+            scattered = mix64(uid[who[len(fresh) :]].astype(np.uint64) * _ODD + start.astype(np.uint64)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.arange(len(who)) >= len(fresh)),
-                    pa.array(np.concatenate([bucket[fresh], none])),
+                    pa.array(np.concatenate([bucket[fresh], scattered])),
                     pa.array(np.concatenate([around[fresh], none])),
                     ids.take(pa.array(who)),
                     pa.array(uid[who]),
@@ -155,12 +158,17 @@ def _suffixes(keyed: DataFrame, length: int, gram: int) -> DataFrame:
 def _first_refinement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted suffixes in; out those with an equal, earlier surrounding (copied), and the first ones of buckets with several surroundings.
 
+    Spans that are settled already (copied, with a stop) pass through.
     One row is held back between batches: the first of a bucket, until another surrounding follows or not.
     """
     gram = around = None
     several = False  # whether the bucket at the end of the last batch has shown two surroundings
     held: pa.RecordBatch | None = None
     for batch in batches:
+        settled = batch.filter(batch.column(0))
+        if settled.num_rows:
+            yield settled
+        batch = batch.filter(pc.invert(batch.column(0)))
         if not batch.num_rows:
             continue
         g, a = batch.column(1).to_numpy(), batch.column(2).to_numpy()
@@ -316,16 +324,17 @@ def _window_hashes(length: int, gram: int):
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", tag: str = "") -> DataFrame:
     """Spans (doc_id, uid, start, stop) that cover exactly the bytes of strings which also start earlier; they may overlap."""
     keyed = _keyed(docs, id_col, text_col)
-    found = materialize(_suffixes(keyed, length, gram), "suffixes", tag)
     order = ["gram", "around", "doc_id", "uid", "start"]
-    suffixes = found.where(~F.col("copied")).repartition("gram").sortWithinPartitions(*order)
+    suffixes = _suffixes(keyed, length, gram).repartition("gram").sortWithinPartitions(*order)
     settled = materialize(suffixes.mapInArrow(_first_refinement, _SUFFIXES), "refined", tag)
-    whole = settled.where("copied").select("doc_id", "uid", F.greatest(F.lit(0), F.col("start") - (length - gram)).alias("start"), (F.col("start") + length).alias("stop"))
-    local = found.where("copied").select("doc_id", "uid", "start", "stop")
+    # The whole surroundings of a copied suffix, or a span settled before.
+    whole = F.col("stop") == 0
+    low = F.when(whole, F.greatest(F.lit(0), F.col("start") - (length - gram))).otherwise(F.col("start"))
+    copies = settled.where("copied").select("doc_id", "uid", low.alias("start"), F.when(whole, F.col("start") + length).otherwise(F.col("stop")).alias("stop"))
     chosen = settled.where(~F.col("copied")).select("gram", "doc_id", "uid", "start")
     large = chosen.groupBy("gram").count().where(F.col("count") > BUCKET_ROWS).select("gram")
     around = _surroundings(keyed, chosen, length, gram)
-    spans = whole.unionByName(local)
+    spans = copies
     if not large.isEmpty():
         around = materialize(around, "surroundings", tag)
         strings = around.join(large, "gram", "left_semi").select("gram", "doc_id", "uid", "start", "left", "bytes")
@@ -355,7 +364,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
         keep_arenas()
         for batch in slices(batches, "text"):
             data, offsets = bytes_and_offsets(plain_strings(batch.column(2)))
-            counts = pa.compute.fill_null(pa.compute.list_value_length(batch.column(3)), 0).to_numpy()
+            counts = pc.fill_null(pc.list_value_length(batch.column(3)), 0).to_numpy()
             owner = np.repeat(np.arange(batch.num_rows), counts)
             begin = offsets[owner] + batch.column(3).flatten().to_numpy()
             end = np.minimum(offsets[owner] + batch.column(4).flatten().to_numpy(), offsets[owner + 1])
