@@ -8,9 +8,9 @@ rejected. A register keeps the earliest point. A document stops as soon as the n
 beyond its latest register. Registers of two bags agree with their weighted Jaccard similarity.
 
 Bands of registers propose pairs. Exact copies collapse to one text first. In each band bucket
-all members are compared with a pivot, never with each other; buckets whose members then lie in
-several classes get further pivots, until every proposed pair has been compared or lies within one
-class. A link needs an exact weighted Jaccard similarity of the two bags of at least ``similarity``.
+all members are compared with a pivot, not with each other; where members then lie in several
+classes, those outside the largest one are pivots in turn, four times as many each round, until
+every proposed pair has been compared, lies within one class, or differs too much in size. A link needs an exact weighted Jaccard similarity of the two bags of at least ``similarity``.
 
 Defined cases: texts below ``words`` words are one shingle; a null text, and one without words,
 is a class of its own; repeated rows share their class; null ids keep theirs; an empty table gives no rows.
@@ -152,7 +152,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _signed(rows: DataFrame, limits: NearLimits) -> DataFrame:
-    """node, keys (band keys; none for texts without words)."""
+    """node, size (shingles), keys (band keys; none for texts without words)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_arenas()
@@ -161,9 +161,10 @@ def _signed(rows: DataFrame, limits: NearLimits) -> DataFrame:
             keys = band_keys(bag_minhash(*bags, limits.registers), limits.bands, limits.rows)
             full = np.diff(bags[2]) > 0
             ends = np.concatenate([[0], np.cumsum(full * limits.bands)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[full].ravel()))], names=["node", "keys"])
+            total = np.concatenate([[0], np.cumsum(bags[1])])[bags[2]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(total)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[full].ravel()))], names=["node", "size", "keys"])
 
-    return rows.select("node", "text").mapInArrow(sign, "node long, keys array<long>")
+    return rows.select("node", "text").mapInArrow(sign, "node long, size long, keys array<long>")
 
 
 def _bags(rows: DataFrame, limits: NearLimits) -> DataFrame:
@@ -193,10 +194,16 @@ def _compare(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     return joined.mapInArrow(score, "pivot long, node long, similarity double")
 
 
+def _fingerprint(edges: DataFrame) -> tuple:
+    """Number and summed hashes of distinct edges: equal for equal sets."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(links: DataFrame, tag: str = "") -> DataFrame:
     """node, root (least node of its component) for all nodes of the links, by large-star and small-star rounds."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = materialize(edges, "edges", tag)
+    mark = _fingerprint(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -204,11 +211,11 @@ def components(links: DataFrame, tag: str = "") -> DataFrame:
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        fresh = materialize(small.where("u <> v").distinct(), "edges", tag)
-        gone = edges.join(fresh, ["u", "v"], "left_anti").limit(1).count() + fresh.join(edges, ["u", "v"], "left_anti").limit(1).count()
-        edges = fresh
-        if not gone:
+        edges = materialize(small.where("u <> v").distinct(), "edges", tag)
+        before, mark = mark, _fingerprint(edges)
+        if mark == before:
             break
+    # A star to the least node of each component is all that is left.
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
@@ -216,47 +223,48 @@ def components(links: DataFrame, tag: str = "") -> DataFrame:
 def near_classes(docs: DataFrame, limits: NearLimits = NearLimits(), id_col: str = "doc_id", text_col: str = "text", tag: str = "") -> DataFrame:
     """node, root, n_links of every distinct text that links to another one."""
     rows = _texts(docs, id_col, text_col)
-    signed = materialize(_signed(rows, limits).groupBy("node").agg(F.first("keys").alias("keys")), "signatures", tag)
-    keys = signed.select("node", F.explode("keys").alias("key"))
+    signed = _signed(rows, limits).groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
+    signed = materialize(signed, "signatures", tag)
+    keys = signed.select("node", "size", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(keys.join(shared, "key"), "buckets", tag)
     busy = members.groupBy("node").agg(F.sum("n").alias("degree"))
-    members = materialize(members.join(busy, "node").select("key", "node", "degree"), "members", tag)
-    wanted = busy.select("node")
-    texts = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    members = materialize(members.join(busy, "node").select("key", "node", "size", "degree"), "members", tag)
+    texts = rows.join(busy.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     bags = materialize(_bags(texts, limits), "bags", tag)
-    compared = members.sparkSession.createDataFrame([], "pivot long, node long, similarity double")
-    roots = None
+
+    # The first pivot of a bucket is its busiest member.
+    best = members.groupBy("key").agg(F.max(F.struct("degree", "node", "size")).alias("p"))
+    pivots = best.select("key", F.col("p.node").alias("pivot"), F.col("p.node").alias("pivot_root"), F.col("p.size").alias("pivot_size"))
+    pivots = used = materialize(pivots, "pivots", tag)
+    placed = members.withColumn("root", F.col("node"))
+    compared = roots = None
     turn = 0
     while True:
-        placed = members if roots is None else members.join(roots, "node", "left")
-        placed = placed.withColumn("root", F.col("node") if roots is None else F.coalesce("root", "node"))
-        # The pivot of a bucket's next turn: from its smallest class first, the busiest member not yet a pivot.
-        if turn == 0:
-            pivots = placed.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.node").alias("pivot_root"))
-            used = pivots.select("key", F.col("pivot").alias("node"))
-        else:
-            sizes = placed.groupBy("key", "root").agg(F.count("*").alias("size"))
-            several = sizes.groupBy("key").agg(F.count("*").alias("classes")).where("classes > 1").select("key")
-            open_ = placed.join(several, "key", "left_semi").join(used, ["key", "node"], "left_anti")
-            # Done is a bucket whose members not yet pivots all lie in one class.
-            left = open_.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("c")).where("r0 <> r1").select("key")
-            open_ = open_.join(left, "key", "left_semi").join(sizes, ["key", "root"])
-            pivots = open_.groupBy("key").agg(F.min(F.struct("size", -F.col("degree"), "node", "root")).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root"))
-        pivots = materialize(pivots, "pivots", tag)
-        if turn:
-            used = materialize(used.unionByName(pivots.select("key", F.col("pivot").alias("node"))), "used", tag)
-        pairs = placed.join(pivots, "key").where("node <> pivot and root <> pivot_root").select("pivot", "node").distinct()
-        pairs = pairs.join(compared.select("pivot", "node"), ["pivot", "node"], "left_anti")
-        pairs = pairs.join(compared.select(F.col("pivot").alias("node"), F.col("node").alias("pivot")), ["pivot", "node"], "left_anti")
+        alike = F.least("size", "pivot_size") >= limits.similarity * F.greatest("size", "pivot_size")
+        pairs = placed.join(pivots, "key").where((F.col("root") != F.col("pivot_root")) & alike)
+        pairs = pairs.select(F.least("node", "pivot").alias("pivot"), F.greatest("node", "pivot").alias("node")).distinct()
+        if compared is not None:
+            pairs = pairs.join(compared.select("pivot", "node"), ["pivot", "node"], "left_anti")
         scored = materialize(_compare(pairs, bags), "scored", tag)
-        if turn and pivots.isEmpty():
-            break
-        compared = materialize(compared.unionByName(scored), "compared", tag)
+        compared = scored if compared is None else compared.unionByName(scored)
         links = compared.where(F.col("similarity") >= limits.similarity).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-        if not scored.where(F.col("similarity") >= limits.similarity).isEmpty() or roots is None:
-            roots = materialize(components(links, tag), "roots", tag)
+        if roots is None or not scored.where(F.col("similarity") >= limits.similarity).isEmpty():
+            roots = components(links, tag)
+            placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            placed = materialize(placed, "placed", tag)
         turn += 1
+        sizes = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
+        main = sizes.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("classes")).where("classes > 1")
+        open_ = placed.join(main.select("key", F.col("m.root").alias("main")), "key").where("root <> main")
+        open_ = open_.join(used.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
+        open_ = materialize(open_.select("key", "node", "size", "root"), "open", tag)
+        if open_.isEmpty():
+            break
+        share = open_.groupBy("key").agg((F.lit(4.0**turn * 2**20) / F.count("*")).alias("share"))
+        chosen = open_.join(share, "key").where(F.pmod(F.xxhash64("key", "node"), F.lit(2**20)) <= F.col("share"))
+        pivots = materialize(chosen.select("key", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"), F.col("size").alias("pivot_size")), "pivots", tag)
+        used = used.unionByName(pivots)
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
     return roots.join(ends.groupBy("node").agg(F.count("*").alias("n_links")), "node", "left")
 
