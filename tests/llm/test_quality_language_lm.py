@@ -155,3 +155,34 @@ def test_lm_score_against_plain_counts(spark):
         assert all(abs(a - b) < 0.001 * 60 for a, b in zip(got, sorted(want), strict=True))
     assert lm_score.score(no_docs(spark), held, limits).count() == 0
     assert lm_score.score(odd_docs(spark), F.lit(True), limits).count() == len(rows())
+
+
+def test_trie_has_every_word_and_pair(spark, monkeypatch):
+    """6,000 words, more than any fixed table of 4,094: each pair counts by itself."""
+    monkeypatch.setattr(lm_score, "SCORED_BYTES", 20_000)
+    rng = np.random.default_rng(5)
+    data = [(i, " ".join(f"w{k}" for k in rng.integers(0, 6000, 100))) for i in range(150)] + [(150, "new w1 w2 new"), (151, None), (None, "w3 W3")]
+    data += [(1000 + i, t) for i, (_, t) in enumerate(data[:20])]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    held = F.col("doc_id").isNull() | (F.col("doc_id") % 10 == 0)
+    got = {r["doc_id"]: r for r in lm_score.score(docs, held).collect()}
+    tokens = {d: [*(t or "").lower().split(), "\n"] for d, t in data}
+    counts, pairs = Counter(), Counter()
+    for d, t in tokens.items():
+        if d is not None and d % 10:
+            counts.update(t)
+            pairs.update(zip(["<", *t], t, strict=False))
+    n, v = sum(counts.values()), len(counts)
+    assert v > 4094
+    total, kinds = Counter(), Counter()
+    for (a, _), c in pairs.items():
+        total[a] += c
+        kinds[a] += 1
+
+    def p(a, b):
+        back = 0.75 * kinds[a] / total[a] if total[a] else 1.0
+        return (max(pairs[a, b] - 0.75, 0) / total[a] if total[a] else 0) + back * (counts[b] + 0.1) / (n + 0.1 * (v + 1))
+
+    for d, t in tokens.items():
+        assert abs(got[d]["score"] - sum(math.log10(p(a, b)) for a, b in zip(["<", *t], t, strict=False))) < 0.0005 * len(t)
+        assert got[d]["n_known"] == sum(counts[w] > 0 for w in t)

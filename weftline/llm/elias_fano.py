@@ -2,14 +2,15 @@
 
 Level one has a monotone pointer for each context; level two has each context's successors
 in order, kept monotone over all contexts by adding the context's base. Probabilities and
-back-off weights are quantised to 16 bits. A query reads its context's pointers and searches the
-successor within that range alone.
+back-off weights are quantised to 16 bits. A query finds the bucket of its base and successor by
+the high bits and searches the low bits there.
 """
 
 from __future__ import annotations
 
 import mmap
 import os
+import uuid
 
 import numpy as np
 
@@ -26,12 +27,25 @@ def restore(codes: np.ndarray) -> np.ndarray:
     return codes.astype(np.float64) * (-FLOOR / _STEPS)
 
 
+def _select(bits: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """The place of the ``rest``-th set bit, from 0, of each word."""
+    place = np.zeros(len(rest), np.int64)
+    for half in (32, 16, 8, 4, 2, 1):
+        part = bits & np.uint64((1 << half) - 1)
+        lower = np.bitwise_count(part).astype(np.int64)
+        up = rest >= lower
+        rest = rest - np.where(up, lower, 0)
+        bits = np.where(up, bits >> np.uint64(half), part)
+        place += np.where(up, half, 0)
+    return place
+
+
 class EliasFano:
     """A non-decreasing sequence below ``universe``: low bits packed, high bits in unary with a rank directory."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, before: np.ndarray | None = None):
         self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)])
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)]) if before is None else before
 
     @classmethod
     def of(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -54,34 +68,61 @@ class EliasFano:
     def at(self, index: np.ndarray) -> np.ndarray:
         """Values at the given indices."""
         word = np.searchsorted(self.before, index, "right") - 1
-        rest = index - self.before[word]
-        bits = self.high[word]
-        place = np.zeros(len(index), np.int64)
-        for half in (32, 16, 8, 4, 2, 1):
-            lower = np.bitwise_count(bits & np.uint64((1 << half) - 1)).astype(np.int64)
-            up = rest >= lower
-            rest = rest - np.where(up, lower, 0)
-            bits = np.where(up, bits >> np.uint64(half), bits & np.uint64((1 << half) - 1))
-            place += np.where(up, half, 0)
-        out = (word * 64 + place - index).astype(np.uint64) << np.uint64(self.low_bits)
-        if self.low_bits:
-            bit = index.astype(np.uint64) * np.uint64(self.low_bits)
-            at, shift = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
-            low = self.low[at] >> shift
-            spill = np.where(shift > 0, self.low[at + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
-            out |= (low | spill) & np.uint64((1 << self.low_bits) - 1)
-        return out.astype(np.int64)
+        place = _select(self.high[word], index - self.before[word])
+        return ((word * 64 + place - index) << self.low_bits) | self._low(index)
+
+    def _low(self, index: np.ndarray) -> np.ndarray:
+        """Low bits of the values at the given indices."""
+        if not self.low_bits:
+            return np.zeros(len(index), np.int64)
+        bit = index.astype(np.uint64) * np.uint64(self.low_bits)
+        at, shift = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
+        spill = np.where(shift > 0, self.low[at + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+        return (((self.low[at] >> shift) | spill) & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
+
+    def _below(self, high: np.ndarray) -> np.ndarray:
+        """How many values have high bits below the given ones: the ones before the zero that ends the bucket before."""
+        out = np.zeros(len(high), np.int64)
+        rows = np.flatnonzero(high > 0)
+        zero = high[rows] - 1
+        before = np.arange(len(self.before)) * 64 - self.before
+        past = zero >= before[-1]
+        out[rows[past]] = self.n
+        rows, zero = rows[~past], zero[~past]
+        word = np.searchsorted(before, zero, "right") - 1
+        out[rows] = word * 64 + _select(~self.high[word], zero - before[word]) - zero
+        return out
+
+    def index(self, values: np.ndarray) -> np.ndarray:
+        """Where each value lies, -1 where it is missing: its bucket by the high bits, then a search of the low bits there."""
+        wanted = values >> self.low_bits
+        low, stop = self._below(wanted), self._below(wanted + 1)
+        high, target = stop.copy(), values & ((1 << self.low_bits) - 1)
+        live = np.flatnonzero(low < high)
+        while len(live):
+            middle = (low[live] + high[live]) >> 1
+            less = self._low(middle) < target[live]
+            low[live[less]] = middle[less] + 1
+            high[live[~less]] = middle[~less]
+            live = live[low[live] < high[live]]
+        out = np.full(len(values), -1, np.int64)
+        inside = np.flatnonzero(low < stop)
+        inside = inside[self._low(low[inside]) == target[inside]]
+        out[inside] = low[inside]
+        return out
 
     def dump(self) -> bytes:
         head = np.array([self.n, self.low_bits, len(self.low), len(self.high)], np.int64)
-        return head.tobytes() + self.low.tobytes() + self.high.tobytes()
+        return head.tobytes() + self.low.tobytes() + self.high.tobytes() + self.before.tobytes()
 
     @classmethod
     def load(cls, buffer: memoryview) -> tuple[EliasFano, memoryview]:
         n, low_bits, a, b = np.frombuffer(buffer[:32], np.int64).tolist()
         low = np.frombuffer(buffer[32 : 32 + 8 * a], np.uint64)
         high = np.frombuffer(buffer[32 + 8 * a : 32 + 8 * (a + b)], np.uint64)
-        return cls(n, low_bits, low, high), buffer[32 + 8 * (a + b) :]
+        stop = 32 + 8 * (a + 2 * b + 1)
+        before = np.frombuffer(buffer[32 + 8 * (a + b) : stop], np.int64)
+        return cls(n, low_bits, low, high, before), buffer[stop:]
 
 
 def build_shard(contexts: np.ndarray, words: np.ndarray, log10: np.ndarray, first: int, count: int, vocabulary: int) -> bytes:
@@ -94,8 +135,22 @@ def build_shard(contexts: np.ndarray, words: np.ndarray, log10: np.ndarray, firs
     return head.tobytes() + pointers.dump() + successors.dump() + codes.tobytes() + bytes(2 * int(head[3]))
 
 
+def write_file(path: str, data: bytes) -> None:
+    """Write whole or not at all, so a task that is run again does no harm."""
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    part = f"{path}.{uuid.uuid4().hex}"
+    with open(part, "wb") as out:
+        out.write(data)
+    os.replace(part, path)
+
+
+def map_file(path: str) -> memoryview:
+    with open(path, "rb") as file:
+        return memoryview(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
+
+
 class Trie:
-    """Shards of the trie over one anonymous memory-mapped file."""
+    """Shards of the trie over one anonymous memory-mapped file, or over files (``mapped``)."""
 
     def __init__(self, shards: list[bytes], vocabulary: int):
         self.vocabulary = vocabulary
@@ -111,34 +166,46 @@ class Trie:
                 view[at : at + len(shard)] = shard
                 self.parts.append(self._open(view[at : at + len(shard)]))
                 at += len(shard)
+        self._order()
+
+    def _order(self) -> None:
         self.parts.sort(key=lambda p: p[0])
         self.firsts = np.array([p[0] for p in self.parts], np.int64)
 
+    @classmethod
+    def mapped(cls, paths: list[str], vocabulary: int) -> Trie:
+        """The trie over files of a shard and its back-off weights each, which are mapped, not read."""
+        trie = cls([], vocabulary)
+        trie.parts = [cls._open(map_file(path)) for path in paths]
+        trie._order()
+        return trie
+
     @staticmethod
     def _open(view: memoryview) -> tuple:
-        first, count, n, _ = np.frombuffer(view[:32], np.int64).tolist()
+        first, count, n, pad = np.frombuffer(view[:32], np.int64).tolist()
         pointers, rest = EliasFano.load(view[32:])
         successors, rest = EliasFano.load(rest)
-        return first, count, pointers, successors, np.frombuffer(rest[: 2 * n], np.uint16)
+        back = rest[2 * (n + pad) :]
+        return first, count, pointers, successors, np.frombuffer(rest[: 2 * n], np.uint16), np.frombuffer(back[: 2 * count], np.uint16)
+
+    def back_offs(self, contexts: np.ndarray) -> np.ndarray:
+        """Log10 back-off weight of each context; 0 for those of no shard."""
+        out = np.zeros(len(contexts))
+        shard = np.searchsorted(self.firsts, contexts, "right") - 1
+        for k in np.unique(shard[shard >= 0]).tolist():
+            first, count, back = self.parts[k][0], self.parts[k][1], self.parts[k][5]
+            rows = np.flatnonzero((shard == k) & (contexts < first + count))
+            out[rows] = restore(back[contexts[rows] - first])
+        return out
 
     def find(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Log10 probability of each (context, word); nan for pairs that the trie lacks."""
         out = np.full(len(contexts), np.nan)
         shard = np.searchsorted(self.firsts, contexts, "right") - 1
         for k in np.unique(shard[shard >= 0]).tolist():
-            first, count, pointers, successors, codes = self.parts[k]
+            first, count, _, successors, codes, _ = self.parts[k]
             rows = np.flatnonzero((shard == k) & (contexts < first + count))
-            own = contexts[rows] - first
-            low, high = pointers.at(own), pointers.at(own + 1)
-            target, stop = own * self.vocabulary + words[rows], high.copy()
-            live = np.flatnonzero(low < high)
-            while len(live):
-                middle = (low[live] + high[live]) >> 1
-                less = successors.at(middle) < target[live]
-                low[live[less]] = middle[less] + 1
-                high[live[~less]] = middle[~less]
-                live = live[low[live] < high[live]]
-            inside = np.flatnonzero(low < stop)
-            inside = inside[successors.at(low[inside]) == target[inside]] if len(inside) else inside
-            out[rows[inside]] = restore(codes[low[inside]])
+            at = successors.index((contexts[rows] - first) * self.vocabulary + words[rows])
+            hit = np.flatnonzero(at >= 0)
+            out[rows[hit]] = restore(codes[at[hit]])
         return out

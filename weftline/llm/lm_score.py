@@ -1,14 +1,14 @@
 """Language-model scores from an Elias-Fano bigram trie over the whole training corpus.
 
-Tokens are white-space separated words, A-Z lower-cased, and one end a text. The trie's
-vocabulary is the end and the ``trie_words`` most frequent words; all other words share one class, in
-which a word has its smoothed unigram share, so every word keeps a probability of its own. The
-trie's counts cover every training text. A pair's probability is interpolated by absolute
-discounting with the unigram of the second; its size is bounded by the square of the
-vocabulary, so the built levels can be sent to every worker.
+Tokens are white-space separated words, A-Z lower-cased, and one end a text. Every word of the
+training texts has an id, its rank among the words' hashes, and the trie has every pair of them,
+so both grow with the input. A pair's probability is interpolated by absolute discounting with the
+smoothed unigram of the second. A word that no training text has counts 0 and gets the smoothing
+alone. Where ``trie_words`` is set, all but the most frequent words share one class, in which a
+word has its smoothed unigram share.
 
-Exact counts of frequent words travel with them; the rest of each text's words joins the table of
-counts by a 64-bit hash.
+Words with their counts lie in files cut by hash, the trie's contexts in files cut by id, both
+below the shared scratch folder; workers map them and read the pages that their texts ask for.
 
 Defined cases: a null text is an empty one and has the end alone; without training texts N and V
 are 0; repeated rows are scored alike; an empty table gives no rows.
@@ -16,41 +16,45 @@ are 0; repeated rows are scored alike; an empty table gives no rows.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.columnar import encode_words, hash_strings, keep_arenas, plain_strings, slices, split_words
-from weftline.llm.elias_fano import Trie, build_shard, quantise, restore
-from weftline.scratch import materialize
+from weftline.llm.columnar import encode_words, hash_strings, keep_arenas, plain_strings, running_starts, slices, split_words
+from weftline.llm.elias_fano import Trie, build_shard, map_file, quantise, write_file
+from weftline.scratch import local_folder, materialize
 
 #: The end token; no word holds white space, so none has its name.
 END_HASH = np.uint64(xxhash.xxh3_64_intdigest(b"\nend of text")).view(np.int64)
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 0x20
-_TRIES: dict[str, tuple] = {}
+_MAPPED: dict[str, object] = {}
+#: Words and pairs of training tokens in one file, as a mean.
+FILE_WORDS, FILE_TOKENS = 1 << 19, 1 << 18
+#: Bytes of text whose pairs are counted, and scored, at once.
+COUNTED_BYTES, SCORED_BYTES = 4 << 20, 2 << 20
 
 
 @dataclass(frozen=True)
 class ScoreLimits:
-    trie_words: int = 4094
-    #: Words whose exact counts are sent to every worker.
+    #: None: all words of the training texts.
+    trie_words: int | None = None
+    #: Without effect since all counts are mapped; kept for callers that set it.
     sent_counts: int = 131_072
     smoothing: float = 0.1
     discount: float = 0.75
+    #: Files of words and of contexts at least.
     shards: int = 64
 
     @property
     def vocabulary(self) -> int:
-        """Ids of the trie: 0 the class of other words, then end and words, last the start of a text."""
+        """Ids of a trie of ``trie_words``: 0 the class of other words, then end and words, last the start of a text."""
         return self.trie_words + 3
 
 
@@ -61,24 +65,6 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, hash_strings(distinct).view(np.int64), bounds
 
 
-class Head:
-    """Frequent words: hashes in order, their counts and trie ids."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, trie_words: int):
-        rank = np.arange(len(hashes))
-        ids = np.where(rank < trie_words, rank + 2, 0)
-        by = np.argsort(hashes)
-        self.hashes, self.counts, self.ids = hashes[by], counts[by], ids[by]
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts (-1: not among them) and trie ids (0: the class of others)."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        hit = self.hashes[at] == hashes
-        return np.where(hit, self.counts[at], -1), np.where(hit, self.ids[at], 0)
-
-
 def _with_ends(ids: np.ndarray, bounds: np.ndarray, start_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Contexts and words of all pairs: each text's ids, led by the start and closed by the end (id 1)."""
     words = np.insert(ids, bounds[1:], 1)
@@ -99,47 +85,133 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def pair_counts(train: DataFrame, head, limits: ScoreLimits) -> DataFrame:
-    """context, word, n of every pair of trie ids in the rows (text)."""
+@dataclass(frozen=True)
+class Model:
+    """What workers need to open the files: their places, and the totals of the training texts."""
+
+    words: list[tuple[int, int, str]]  # bucket, rank of its first word, path; by bucket
+    bits: int
+    size: int
+    tokens: int
+    kinds: int
+    ends: int
+    smoothing: float
+    top: np.ndarray | None  # hashes of the trie's words in order, where they are limited
+    top_ids: np.ndarray | None
+    own: np.ndarray | None  # counts of the trie's ids then
+
+
+def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> (64 - bits)) + (1 << (bits - 1))
+
+
+class Words:
+    """Counts and trie ids of words, from the mapped files of ``write_words``."""
+
+    def __init__(self, model: Model):
+        self.model, self.parts = model, {}
+        self.firsts = np.array([first for _, first, _ in model.words], np.int64)
+        for bucket, first, path in model.words:
+            view = map_file(path)
+            n = len(view) // 16
+            self.parts[bucket] = first, np.frombuffer(view[: 8 * n], np.int64), np.frombuffer(view[8 * n :], np.int64)
+
+    @classmethod
+    def of(cls, model: Model) -> Words:
+        """One a process, as long as the same files are asked for."""
+        name = model.words[0][2] if model.words else ""
+        if _MAPPED.get("words", ("",))[0] != name or not name:
+            _MAPPED["words"] = name, cls(model)
+        return _MAPPED["words"][1]
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts (0: unseen) and trie ids (0: the class of others)."""
+        model = self.model
+        by = np.argsort(hashes)
+        wanted = hashes[by]
+        count, rank = np.zeros(len(hashes), np.int64), np.full(len(hashes), -2, np.int64)
+        cuts = np.searchsorted(_bucket(wanted, model.bits), np.arange((1 << model.bits) + 1))
+        for bucket, (first, known, counts) in self.parts.items():
+            part = wanted[cuts[bucket] : cuts[bucket + 1]]
+            at = np.minimum(np.searchsorted(known, part), len(known) - 1)
+            hit = np.flatnonzero(known[at] == part)
+            count[by[cuts[bucket] + hit]], rank[by[cuts[bucket] + hit]] = counts[at[hit]], first + at[hit]
+        if model.top is None:
+            return count, rank + 2
+        at = np.minimum(np.searchsorted(model.top, hashes), max(len(model.top) - 1, 0))
+        return count, np.where(model.top[at] == hashes, model.top_ids[at], 0) if len(model.top) else np.zeros(len(hashes), np.int64)
+
+    def unigrams(self, ids: np.ndarray) -> np.ndarray:
+        """Smoothed unigram of each trie id; the start is never a word."""
+        model = self.model
+        if model.own is not None:
+            own = model.own[ids]
+        else:
+            own = np.where(ids == 1, model.ends, 0)
+            place = np.searchsorted(self.firsts, ids - 2, "right") - 1
+            for k in np.unique(place[ids > 1]).tolist():
+                first, _, counts = self.parts[model.words[k][0]]
+                rows = np.flatnonzero((place == k) & (ids > 1))
+                own[rows] = counts[ids[rows] - 2 - first]
+        smoothed = model.size - 1 if model.own is not None else model.kinds + 1
+        return (own + model.smoothing) / (model.tokens + model.smoothing * smoothed)
+
+
+def write_words(counts: DataFrame, folder: str, bits: int) -> list[tuple[int, int, str]]:
+    """Files of the counts' hashes in order and their counts, cut by the first bits of the hash: bucket, rank of its first word, path."""
+
+    def write(table: pa.Table) -> pa.Table:
+        hashes, n = table["hash"].to_numpy(), table["n"].to_numpy()
+        by = np.argsort(hashes)
+        bucket, path = table["bucket"][0].as_py(), f"{folder}/words-{table['bucket'][0].as_py()}"
+        write_file(path, hashes[by].tobytes() + n[by].tobytes())
+        return pa.table({"bucket": [bucket], "kinds": [len(by)], "path": [path]})
+
+    bucket = F.shiftright("hash", 64 - bits) + (1 << (bits - 1))
+    # One row a file.
+    done = counts.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(write, "bucket long, kinds long, path string").toArrow().sort_by("bucket")
+    kinds = done["kinds"].to_numpy()
+    return list(zip(done["bucket"].to_pylist(), (np.cumsum(kinds) - kinds).tolist(), done["path"].to_pylist(), strict=True))
+
+
+def pair_counts(train: DataFrame, model, each: int) -> DataFrame:
+    """shard, pair (context * size + word), n of the pairs of trie ids in the rows (text); a pair of several slices has several rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_arenas()
-        frequent = Head(*head.value, limits.trie_words)
-        for batch in slices(batches, "text"):
+        words, size = Words.of(model.value), model.value.size
+        for batch in slices(batches, "text", COUNTED_BYTES):
             codes, hashes, bounds = _tokens(batch.column(0))
-            ids = frequent.find(hashes)[1][codes] if len(codes) else np.zeros(0, np.int64)
-            contexts, words = _with_ends(ids, bounds, limits.vocabulary - 1)
-            keys, n = np.unique(contexts * limits.vocabulary + words, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys // limits.vocabulary), pa.array(keys % limits.vocabulary), pa.array(n)], names=["context", "word", "n"])
-
-    return train.select("text").mapInArrow(count, "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
-
-
-def build_trie(pairs: DataFrame, unigrams: np.ndarray, limits: ScoreLimits) -> tuple[list[bytes], np.ndarray]:
-    """Shards of the trie and the quantised back-off weight of each context."""
-    size, discount = limits.vocabulary, limits.discount
-    each = -(-size // limits.shards)
-
-    def build(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("context", "ascending"), ("word", "ascending")])
-        context, word, n = (table[c].to_numpy() for c in ("context", "word", "n"))
-        first = int(context[0]) // each * each
-        total = np.bincount(context - first, n, each)
-        kinds = np.bincount(context - first, minlength=each)
-        weight = discount * kinds / np.maximum(total, 1)
+            ids = words.find(hashes)[1][codes] if len(codes) else np.zeros(0, np.int64)
+            contexts, seconds = _with_ends(ids, bounds, size - 1)
+            keys, n = np.unique(contexts * size + seconds, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys // (size * each)), pa.array(keys), pa.array(n)], names=["shard", "pair", "n"])
+
+    return train.select("text").mapInArrow(count, "shard long, pair long, n long")
+
+
+def write_trie(pairs: DataFrame, model, discount: float, folder: str, each: int) -> list[str]:
+    """Files of the trie, ``each`` contexts a file with their quantised back-off weights."""
+
+    def write(table: pa.Table) -> pa.Table:
+        words, size = Words.of(model.value), model.value.size
+        key, n = table["pair"].to_numpy(), table["n"].to_numpy()
+        by = np.argsort(key)
+        starts = np.flatnonzero(running_starts(key[by]))
+        key, n = key[by][starts], np.add.reduceat(n[by], starts)
+        context, second = key // size, key % size
+        first = table["shard"][0].as_py() * each
         own = context - first
-        p = np.maximum(n - discount, 0.0) / total[own] + weight[own] * unigrams[word]
-        levels = build_shard(context, word, np.log10(p), first, each, size)
+        total = np.bincount(own, n, each)
+        weight = discount * np.bincount(own, minlength=each) / np.maximum(total, 1)
+        p = np.maximum(n - discount, 0.0) / total[own] + weight[own] * words.unigrams(second)
         back = quantise(np.log10(np.maximum(np.where(total > 0, weight, 1.0), 1e-12)))
-        return pa.table({"first": [first], "levels": pa.array([levels], pa.binary()), "back": pa.array([back.tobytes()], pa.binary())})
+        path = f"{folder}/trie-{first}"
+        write_file(path, build_shard(context, second, np.log10(p), first, each, size) + back.tobytes())
+        return pa.table({"path": [path]})
 
-    sharded = pairs.withColumn("shard", F.floor(F.col("context") / each))
-    # At most vocabulary squared pairs, a few bytes each.
-    built = sharded.groupBy("shard").applyInArrow(build, "first long, levels binary, back binary").toArrow()
-    back = np.zeros(each * limits.shards, np.uint16)
-    for first, codes in zip(built["first"].to_pylist(), built["back"].to_pylist(), strict=True):
-        back[first : first + each] = np.frombuffer(codes, np.uint16)
-    return built["levels"].to_pylist(), back[:size]
+    # One row a file.
+    return pairs.groupBy("shard").applyInArrow(write, "path string").toArrow()["path"].to_pylist()
 
 
 def score(docs: DataFrame, held_out: Column, limits: ScoreLimits = ScoreLimits(), id_col: str = "doc_id", text_col: str = "text", tag: str = "") -> DataFrame:
@@ -148,92 +220,66 @@ def score(docs: DataFrame, held_out: Column, limits: ScoreLimits = ScoreLimits()
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     train = rows.where(~F.col("held_out"))
     counts = materialize(word_counts(train), "word-counts", tag)
-    totals = counts.agg(F.sum("n"), F.count("*")).first()
-    all_tokens, kinds = totals[0] or 0, totals[1]
-    top = counts.where(F.col("hash") != int(END_HASH)).orderBy(F.desc("n"), "hash").limit(limits.sent_counts).toArrow()
-    ends = counts.where(F.col("hash") == int(END_HASH)).first()
-    ends = ends["n"] if ends else 0
-    top_hash, top_n = top["hash"].to_numpy(), top["n"].to_numpy()
-    by_rank = np.lexsort((top_hash, -top_n))
-    head = spark.sparkContext.broadcast((top_hash[by_rank], top_n[by_rank]))
-    in_trie = top_n[by_rank][: limits.trie_words]
-    # Unigrams of the trie's ids; the start is never a word.
-    size = limits.vocabulary
-    own = np.zeros(size)
-    own[1], own[2 : 2 + len(in_trie)] = ends, in_trie
-    others, other_kinds = all_tokens - own.sum(), max(0, kinds - len(in_trie) - 1)
-    own[0] = others
-    unigrams = (own + limits.smoothing) / (own.sum() + limits.smoothing * (size - 1))
-    unigrams[-1] = 0.0
-    shards, back = build_trie(pair_counts(train, head, limits), np.maximum(unigrams, 1e-300), limits)
-    model = spark.sparkContext.broadcast((shards, back, np.log10(np.maximum(unigrams, 1e-300))))
-    name, smooth = uuid.uuid4().hex, limits.smoothing
+    totals = counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("hash") == int(END_HASH), F.col("n")))).first()
+    all_tokens, kinds, ends = totals[0] or 0, totals[1], totals[2] or 0
+    folder = local_folder(spark, "ngram-trie", tag)
+    bits = max(limits.shards, kinds // FILE_WORDS, 2).bit_length()
+    files = write_words(counts, folder, bits)
+    size, top, top_ids, own = kinds + 3, None, None, None
+    others, other_kinds = 0, 0
+    if limits.trie_words is not None:
+        frequent = counts.where(F.col("hash") != int(END_HASH)).orderBy(F.desc("n"), "hash").limit(limits.trie_words).toArrow()
+        by = np.argsort(frequent["hash"].to_numpy())
+        top, top_n = frequent["hash"].to_numpy()[by], frequent["n"].to_numpy()[by]
+        top_ids, size = np.arange(len(top)) + 2, limits.vocabulary
+        own = np.zeros(size)
+        own[1], own[2 : 2 + len(top)] = ends, top_n
+        others, other_kinds = all_tokens - own.sum(), max(0, kinds - len(top) - 1)
+        own[0] = others
+    model = spark.sparkContext.broadcast(Model(files, bits, size, all_tokens, kinds, ends, limits.smoothing, top, top_ids, own))
+    each = -(-size // max(limits.shards, all_tokens // FILE_TOKENS))
+    paths = spark.sparkContext.broadcast(write_trie(pair_counts(train, model, each), model, limits.discount, folder, each))
+    smooth = limits.smoothing
     base_floor = float(np.log10(all_tokens + smooth * (kinds + 1)))
     other_floor = float(np.log10(others + smooth * (other_kinds + 1)))
+    end_log = float(np.log10(ends + smooth))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_arenas()
-        frequent = Head(*head.value, limits.trie_words)
-        if name not in _TRIES:
-            _TRIES.clear()
-            levels, weights, own_log = model.value
-            _TRIES[name] = Trie(levels, size), restore(weights), own_log
-        trie, weights, own_log = _TRIES[name]
-        uid = TaskContext.get().partitionId() << 33
-        for batch in slices(batches, "text"):
+        words = Words.of(model.value)
+        if _MAPPED.get("trie", ("",))[0] != folder:
+            _MAPPED["trie"] = folder, Trie.mapped(paths.value, size)
+        trie = _MAPPED["trie"][1]
+        for batch in slices(batches, "text", SCORED_BYTES):
             n = batch.num_rows
             codes, hashes, bounds = _tokens(batch.column(2))
-            found, trie_ids = frequent.find(hashes)
+            found, trie_ids = words.find(hashes)
             ids = trie_ids[codes] if len(codes) else np.zeros(0, np.int64)
-            contexts, words = _with_ends(ids, bounds, size - 1)
-            keys, inverse = np.unique(contexts * size + words, return_inverse=True)
-            context, word = keys // size, keys % size
-            p = trie.find(context, word)
-            p = np.where(np.isnan(p), weights[context] + own_log[word], p)
+            contexts, seconds = _with_ends(ids, bounds, size - 1)
+            keys, inverse = np.unique(contexts * size + seconds, return_inverse=True)
+            context, second = keys // size, keys % size
+            p = trie.find(context, second)
+            rest = np.flatnonzero(np.isnan(p))
+            p[rest] = trie.back_offs(context[rest]) + np.log10(words.unigrams(second[rest]))
             sums = np.concatenate([[0.0], np.cumsum(p[inverse])])
             with_ends = bounds + np.arange(n + 1)
             model_score = sums[with_ends[1:]] - sums[with_ends[:-1]]
-            # Of words with counts at hand: the sums of log10 (count + smoothing), for all and for the class of others.
-            log_count = np.where(found >= 0, np.log10(np.maximum(found, 0) + smooth), 0.0)
-            at_hand = np.concatenate([[0.0], np.cumsum(log_count[codes])]) if len(codes) else np.zeros(1)
-            in_class = np.concatenate([[0.0], np.cumsum(np.where(trie_ids == 0, log_count, 0.0)[codes])]) if len(codes) else np.zeros(1)
-            known = np.concatenate([[0], np.cumsum((found > 0)[codes])]) if len(codes) else np.zeros(1, np.int64)
-            others_in = np.concatenate([[0], np.cumsum((trie_ids == 0)[codes])]) if len(codes) else np.zeros(1, np.int64)
-            per = lambda x: x[bounds[1:]] - x[bounds[:-1]]
-            away = np.flatnonzero((found < 0)[codes]) if len(codes) else np.zeros(0, np.int64)
-            cuts = np.searchsorted(away, bounds).astype(np.int32)
+            # Sums over each text's words, of all and of those in the class of others.
+            per = lambda x: np.diff(np.concatenate([np.zeros(1, x.dtype), np.cumsum(x[codes])])[bounds]) if len(codes) else np.zeros(n, x.dtype)
+            log_count, other = np.log10(found + smooth), trie_ids == 0
+            n_tokens = np.diff(bounds) + 1
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(uid + np.arange(n)),
                     batch.column(0),
                     batch.column(1),
-                    pa.array(np.diff(bounds) + 1),
-                    pa.array(per(known)),
-                    pa.array(per(at_hand)),
-                    pa.array(per(in_class)),
-                    pa.array(per(others_in)),
-                    pa.array(model_score),
-                    pa.ListArray.from_arrays(pa.array(cuts), pa.array(hashes[codes[away]] if len(away) else np.zeros(0, np.int64))),
+                    pa.array(n_tokens),
+                    pa.array(per((found > 0).astype(np.int64)) + int(ends > 0)),
+                    pa.array(np.full(n, all_tokens, np.int64)),
+                    pa.array(per(log_count) + end_log - n_tokens * base_floor),
+                    pa.array(model_score + per(np.where(other, log_count - other_floor, 0.0))),
                 ],
-                names=["uid", "doc_id", "held_out", "n_tokens", "known", "at_hand", "in_class", "others", "model_score", "away"],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
-            uid += n
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"uid long, doc_id {id_type}, held_out boolean, n_tokens long, known long, at_hand double, in_class double, others long, model_score double, away array<long>"
-    scored = materialize(rows.mapInArrow(local, schema), "scored", tag)
-    # Only words outside the sent counts travel; frequent ones never do, so no key is hot.
-    away = scored.select("uid", F.explode("away").alias("hash"))
-    joined = away.join(counts, "hash", "left").groupBy("uid").agg(F.count("n").alias("found"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + smooth)).alias("logs"))
-    whole = scored.drop("away").join(joined, "uid", "left")
-    logs = F.coalesce("logs", F.lit(0.0))
-    end_log = float(np.log10(ends + smooth))
-    return whole.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known") + F.coalesce("found", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"),
-        F.lit(int(all_tokens)).cast("long").alias("train_tokens"),
-        (F.col("at_hand") + logs + end_log - F.col("n_tokens") * base_floor).alias("base_score"),
-        (F.col("model_score") + F.col("in_class") + logs - F.col("others") * other_floor).alias("score"),
-    )
+    return rows.mapInArrow(local, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +37,15 @@ def new_path(spark: SparkSession, name: str, tag: str = "") -> str:
     return path
 
 
+def local_folder(spark: SparkSession, name: str, tag: str = "") -> str:
+    """A fresh folder of the shared scratch as a path for files that workers map, remembered as in ``new_path``."""
+    path = new_path(spark, name, tag)
+    where = urlsplit(path)
+    if where.scheme not in ("", "file"):
+        raise RuntimeError(f"files can't be mapped in {path}: set spark.checkpoint.dir to a mounted folder that driver and executors share")
+    return where.path
+
+
 def materialize(df: DataFrame, name: str, tag: str = "") -> DataFrame:
     """Write ``df`` as Parquet to shared scratch and return a DataFrame that reads it."""
     spark = df.sparkSession
