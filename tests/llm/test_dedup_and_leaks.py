@@ -56,6 +56,17 @@ def test_repeats_on_odd_rows(spark):
     assert whole[2] == "xy"
 
 
+@pytest.mark.parametrize("parts", [1, 2])
+def test_one_of_two_rows_with_same_id_and_text_stays(spark, parts):
+    """No other copy: exactly one row keeps the text, in one batch and across batches."""
+    text = "".join(random.Random(2).choices("abcdefgh", k=300))
+    docs = [(4, text, "x"), (4, text, "y"), (None, text[::-1], "z"), (None, text[::-1], "z"), (5, "short", "s"), (5, "short", "s"), (6, text[:150], "w")]
+    cut = suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(parts), carry=("lang",)).collect()
+    kept = sorted((str(r["doc_id"]), bytes(r["kept"]).decode(), r["n_removed"], r["n_spans"]) for r in cut)
+    assert kept == sorted([("4", text, 0, 0), ("4", "", 300, 1), ("None", text[::-1], 0, 0), ("None", "", 300, 1), ("5", "short", 0, 0), ("5", "short", 0, 0), ("6", "", 150, 1)])
+    assert sorted(r["lang"] for r in cut) == ["s", "s", "w", "x", "y", "z", "z"]
+
+
 def bag(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))

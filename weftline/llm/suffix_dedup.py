@@ -15,7 +15,8 @@ Identifiers are 64-bit polynomial hashes. Order is (document id, null ids first;
 CRC-32; then the offset). Matches never cross documents.
 
 Defined cases: a null text is an empty one; texts below ``length`` bytes lose nothing; of rows
-that repeat both id and text the first counts as earlier; an empty table gives no rows.
+that repeat both id and text one goes through the search and the others are wholly repeats of it;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.columnar import bytes_and_offsets, keep_arenas, mix64, plain_strings, ragged_index, slices
@@ -321,9 +322,26 @@ def _window_hashes(length: int, gram: int):
     return explode
 
 
+def _once(keyed: DataFrame, tag: str) -> tuple[DataFrame, DataFrame | None]:
+    """One row of each (doc_id, uid), and the rows that repeat them; None where none does."""
+    repeated = keyed.groupBy("doc_id", "uid").count().where(F.col("count") > 1)
+    if repeated.isEmpty():
+        return keyed, None
+    # Row numbers are stored, so both parts agree on them; they are unique, so no join by them is uneven.
+    rows = materialize(keyed.withColumn("row", F.monotonically_increasing_id()), "numbered-rows", tag)
+    firsts = rows.groupBy("doc_id", "uid").agg(F.min("row").alias("row")).select("row")
+    once = materialize(rows.join(firsts, "row", "left_semi").select(*keyed.columns), "distinct-rows", tag)
+    return once, rows.join(firsts, "row", "left_anti").select(*keyed.columns)
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", tag: str = "") -> DataFrame:
     """Spans (doc_id, uid, start, stop) that cover exactly the bytes of strings which also start earlier; they may overlap."""
-    keyed = _keyed(docs, id_col, text_col)
+    once, _ = _once(_keyed(docs, id_col, text_col), tag)
+    return _spans(once, length, gram, tag)
+
+
+def _spans(keyed: DataFrame, length: int, gram: int, tag: str) -> DataFrame:
+    """The same for rows (doc_id, uid, text) of which none repeats id and text."""
     order = ["gram", "around", "doc_id", "uid", "start"]
     suffixes = _suffixes(keyed, length, gram).repartition("gram").sortWithinPartitions(*order)
     settled = materialize(suffixes.mapInArrow(_first_refinement, _SUFFIXES), "refined", tag)
@@ -352,10 +370,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
 
     ``whole_characters``: a character that loses a byte goes whole, so what remains is valid UTF-8.
     """
-    spans = repeated_spans(docs, length, gram, id_col, text_col, tag)
+    keyed, later = _once(_keyed(docs, id_col, text_col, carry), tag)
+    spans = _spans(keyed.select("doc_id", "uid", "text"), length, gram, tag)
     per_doc = spans.groupBy("doc_id", "uid").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     per_doc = per_doc.select(F.col("doc_id").alias("d"), F.col("uid").alias("u"), "starts", "stops")
-    keyed = _keyed(docs, id_col, text_col, carry)
     joined = keyed.join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("uid") == F.col("u")), "left")
     names = [f"carry_{i}" for i in range(len(carry))]
     joined = joined.select("doc_id", "uid", "text", "starts", "stops", *names)
@@ -398,18 +416,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     schema = "doc_id long, uid long, kept binary, n_bytes long, n_removed long, n_spans long"
     types = {f.name: f.dataType.simpleString() for f in joined.schema}
     out = joined.mapInArrow(cut, ", ".join([schema, *(f"{n} {types[n]}" for n in names)]))
+    if later is not None:
+        # All that holds such a string starts earlier too, in the first of these rows.
+        data = F.col("text").cast("binary")
+        size = F.octet_length("text").cast("long")
+        gone = size >= length
+        cuts = (F.when(gone, F.lit(b"")).otherwise(data).alias("kept"), size.alias("n_bytes"), F.when(gone, size).otherwise(0).alias("n_removed"), gone.cast("long").alias("n_spans"))
+        out = out.unionByName(later.select("doc_id", "uid", *cuts, *names))
     return out.select("doc_id", "uid", "kept", "n_bytes", "n_removed", "n_spans", *(F.col(n).alias(c) for n, c in zip(names, carry, strict=True)))
 
 
-def digests(cut: DataFrame, length: int = LENGTH) -> DataFrame:
-    """One row a document with the digest of what remains. Of rows that repeat id and text, all but one are wholly repeats."""
-    rows = cut.select("doc_id", "uid", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-    again = (F.row_number().over(Window.partitionBy("doc_id", "uid").orderBy("n_bytes")) > 1) & (F.col("n_bytes") >= length)
-    rows = rows.withColumn("again", again)
-    return rows.select(
-        "doc_id",
-        "n_bytes",
-        F.when(F.col("again"), F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
-        F.when(F.col("again"), F.lit(1).cast("long")).otherwise(F.col("n_spans")).alias("n_spans"),
-        F.when(F.col("again"), F.sha2(F.lit(b""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
-    )
+def digests(cut: DataFrame) -> DataFrame:
+    """One row a document with the digest of what remains."""
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
