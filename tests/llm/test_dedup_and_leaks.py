@@ -121,7 +121,7 @@ def test_signatures_estimate_weighted_similarity():
         grams, counts, cuts = minhash.shingle_bags(pa.array([" ".join(a), " ".join(b)]), 1)
         signature = minhash.bag_minhash(grams, counts, cuts, 2048)
         assert np.isfinite(signature).all()
-        flat = [np.repeat(grams[cuts[i] : cuts[i + 1]], counts[cuts[i] : cuts[i + 1]]) for i in (0, 1)]
+        flat = [minhash.tagged(grams[cuts[i] : cuts[i + 1]], counts[cuts[i] : cuts[i + 1]]) for i in (0, 1)]
         assert abs((signature[0] == signature[1]).mean() - minhash.weighted_jaccard(*flat)) < 0.05
         assert abs(minhash.weighted_jaccard(*flat) - jaccard(Counter(a), Counter(b))) < 1e-12
 
