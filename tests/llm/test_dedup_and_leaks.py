@@ -56,6 +56,17 @@ def test_repeats_on_odd_rows(spark):
     assert whole[2] == "xy"
 
 
+def test_a_long_text_is_searched_piece_by_piece(spark, monkeypatch):
+    """Pieces of 1,000 bytes find what the whole text holds, across their borders too."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", 1000)
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefg é") for _ in range(9000))
+    docs = [(1, text[:4000] + text[500:3700] + text[4000:]), (2, text[3900:5200] + "z" + text[150:390]), (3, "short")]
+    cut = suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(2))
+    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.digests(cut).collect()}
+    assert found == brute_repeats(docs)
+
+
 @pytest.mark.parametrize("parts", [1, 2])
 def test_one_of_two_rows_with_same_id_and_text_stays(spark, parts):
     """No other copy: exactly one row keeps the text, in one batch and across batches."""
@@ -218,3 +229,15 @@ def test_pipeline_does_what_its_stages_say(spark, tmp_path):
     cut = {r["doc_id"]: r for r in corpus_pipeline.exact_spans(spark, frame.where("doc_id in (52, 53)"), str(tmp_path)).collect()}
     assert shared in cut[52]["text"] and shared not in cut[53]["text"]
     assert cut[53]["n_chars"] == len(cut[53]["text"])
+
+
+def test_order_and_common_prefixes_of_rows():
+    rng = np.random.default_rng(9)
+    for width in (8, 24, 80, 104):
+        rows = rng.integers(0, 2, (4000, width)).astype(np.uint8)
+        rows[rng.integers(0, 4000, 2000)] = rows[rng.integers(0, 4000, 2000)]
+        rows[:, : width // 2] = rows[rng.integers(0, 40, 4000), : width // 2]
+        by, common = suffix_dedup._suffix_order(rows)
+        raw = [rows[i].tobytes() for i in by]
+        assert raw == sorted(raw)
+        assert common[1:].tolist() == [next((k for k in range(width) if a[k] != b[k]), width) for a, b in zip(raw[:-1], raw[1:], strict=True)]

@@ -4,19 +4,23 @@ Every string of ``length`` bytes holds an anchor: the q-gram of least hash in it
 hold the same anchors at the same places, so only anchored suffixes need sorting.
 
 1. Initial buckets: anchors by q-gram. A bucket of one suffix is settled and leaves.
-2. First refinement: suffixes of a bucket are sorted by the identifier of their whole
-   surroundings, ``length - q`` bytes before and ``length`` bytes after. All but the first of
-   equal ones are copies as a whole and leave with the span around them.
-3. Last refinement, of buckets with several surroundings: the bucket identifiers of prefixes and of
-   bytes before the anchor, reused from one offset to the next, are paired for each of the
-   ``length - q + 1`` strings around the anchor; all but the first of equal pairs are repeats.
-
-Identifiers are 64-bit polynomial hashes. Order is (document id, null ids first; then the text's
-CRC-32; then the offset). Matches never cross documents.
+2. First refinement: suffixes of a bucket are sorted by an identifier (96 bits, from two hashes) of
+   their whole surroundings, ``length - q`` bytes before and ``length`` bytes after. All but the
+   first of equal ones are copies as a whole and leave with the span around them.
+3. A bucket with more surroundings than a task takes is cut into two finer ones, of the strings
+   with the anchor near their end and near their start, each by the bytes that its strings then have
+   in common; and again, until it fits or holds a single string.
+4. Last refinement, exact: the bytes after (and, reversed, before) the anchors get bucket
+   identifiers word by word; identifiers of 16, 32, 64 ... bytes are those of the pairs of
+   identifiers at the two offsets they consist of. The order they give has the common prefix of each
+   two neighbours, and so the bucket of every prefix without another sort. A string around an anchor
+   is a pair of such buckets; all but the first of equal pairs are repeats.
+
+Order is (document id, null ids first; rows that repeat an id as they are numbered; offset).
+Matches never cross documents. Long texts are searched piece by piece.
 
 Defined cases: a null text is an empty one; texts below ``length`` bytes lose nothing; of rows
-that repeat both id and text one goes through the search and the others are wholly repeats of it;
-an empty table gives no rows.
+that repeat both id and text the one numbered first keeps it; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,35 +30,47 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.columnar import bytes_and_offsets, keep_arenas, mix64, plain_strings, ragged_index, slices
+from weftline.llm.columnar import bytes_and_offsets, keep_arenas, mix64, plain_strings, ragged_index, running_starts, slices
 from weftline.scratch import materialize
 
 LENGTH = 100
 GRAM = 24
-#: Distinct surroundings of one q-gram that a task refines in memory; larger buckets go by window hashes.
-BUCKET_ROWS = 100_000
+#: Distinct surroundings of one bucket that a task refines in memory; larger buckets are cut.
+BUCKET_ROWS = 50_000
+#: Bytes of text that a worker searches at once.
+PIECE = 1 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_TABLE = np.random.default_rng(577215664).integers(1, 2**63, 256, np.uint64)
+#: Bases of the two hashes, and what each adds for a byte.
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_TABLES = np.random.default_rng(577215664).integers(1, 2**63, (2, 256), np.uint64)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers 0 .. n and their inverses, kept for the next piece."""
+    if which not in _POWERS or len(_POWERS[which][0]) <= n:
+        both = []
+        for base in (_BASES[which], pow(_BASES[which], -1, 2**64)):
+            power = np.full(max(n, PIECE + 4096) + 1, base, np.uint64)
+            power[0] = 1
+            np.multiply.accumulate(power, out=power)
+            both.append(power)
+        _POWERS[which] = both[0], both[1]
+    return _POWERS[which]
 
 
 class Rolling:
     """64-bit hashes of any byte range of ``data`` from prefix sums."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, which: int = 0):
         n = len(data)
-        power = np.full(n + 1, _ODD, np.uint64)
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
-        self.inverse = np.full(n + 1, _INVERSE, np.uint64)
-        self.inverse[0] = 1
-        np.multiply.accumulate(self.inverse, out=self.inverse)
+        power, self.inverse = _powers(which, n)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_TABLE[data] * power[:-1], out=self.sums[1:])
+        np.cumsum(_TABLES[which][data] * power[:n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return (self.sums[stop] - self.sums[start]) * self.inverse[start]
@@ -71,8 +87,8 @@ def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
     return x
 
 
-def anchors(rolling: Rolling, offsets: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """Positions of the q-grams of least hash in some string of ``length`` bytes within a document."""
+def anchors(rolling: Rolling, offsets: np.ndarray, length: int, gram: int, first: int = 0, stop: int | None = None) -> np.ndarray:
+    """Positions of the q-grams of least hash in some string of ``length`` bytes within a document, that starts in first .. stop."""
     n, width = int(offsets[-1]), length - gram + 1
     if n < length:
         return np.zeros(0, np.int64)
@@ -83,6 +99,8 @@ def anchors(rolling: Rolling, offsets: np.ndarray, length: int, gram: int) -> np
     lengths = np.diff(offsets)
     bad = ragged_index(np.maximum(offsets[:-1], offsets[1:] - (length - 1)), np.minimum(lengths, length - 1))
     least[bad[bad < len(least)]] = 0
+    least[:first] = 0
+    least[n if stop is None else stop :] = 0
     padded = np.concatenate([np.zeros(width - 1, np.uint32), least, np.zeros(width - 1, np.uint32)])
     return np.flatnonzero(_slide(padded, width, np.maximum) == order)
 
@@ -102,56 +120,72 @@ def _merge_spans(owner: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tupl
     return owner[at], start[at], reach[last] - shift[last]
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def _keyed(docs: DataFrame, id_col: str, text_col: str, tag: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, uid, text and the extra columns. The uid is 0 if no id repeats; else rows are numbered in a written table."""
     kept = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(extra)]
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.crc32(text.cast("binary")).alias("uid"), text.alias("text"), *kept)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *kept)
+    if rows.groupBy("doc_id").count().where(F.col("count") > 1).isEmpty():
+        return rows.withColumn("uid", F.lit(0).cast("long"))
+    return materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "numbered-rows", tag)
 
 
-_SUFFIXES = "copied boolean, gram long, around long, doc_id long, uid long, start int, stop int"
+_SUFFIXES = "copied boolean, gram long, around long, check int, doc_id long, uid long, start int, stop int"
 
 
 def _suffixes(keyed: DataFrame, length: int, gram: int) -> DataFrame:
-    """Anchored suffixes, and the spans that are copies of others in the same batch."""
+    """Anchored suffixes, and the spans that are copies of others in the same piece."""
+    side, piece = length - gram, PIECE
+
+    def suffixes(data: np.ndarray, offsets: np.ndarray, ids: pa.Array, uid: np.ndarray, base: int, first: int, last: int | None) -> pa.RecordBatch:
+        rolling, second = Rolling(data), Rolling(data, 1)
+        at = anchors(rolling, offsets, length, gram, first, last)
+        owner = np.searchsorted(offsets, at, "right") - 1
+        left = np.maximum(offsets[owner], at - side)
+        right = np.minimum(offsets[owner + 1], at + length)
+        shape = mix64(((at - left) * 4096 + (right - at)).astype(np.uint64))
+        bucket = mix64(rolling.of(at, at + gram)).view(np.int64)
+        around = mix64(rolling.of(left, right) + shape).view(np.int64)
+        check = (mix64(second.of(left, right) + shape) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        # Null ids come first.
+        known = np.asarray(ids.is_valid())
+        rank = np.lexsort((uid, np.where(known, ids.fill_null(0).to_numpy(), 0), known))
+        place = np.empty(len(rank), np.int64)
+        place[rank] = np.arange(len(rank))
+        by = np.lexsort((at, place[owner], check, around, bucket))
+        same = np.zeros(len(by), bool)
+        same[1:] = ~(running_starts(bucket[by]) | running_starts(around[by]) | running_starts(check[by]))[1:]
+        fresh, copies = by[~same], by[same]
+        who, start, stop = _merge_spans(owner[copies], left[copies] - offsets[owner[copies]], right[copies] - offsets[owner[copies]])
+        who = np.concatenate([owner[fresh], who])
+        none = np.zeros(len(start), np.int64)
+        # Settled spans pass through the buckets' shuffle; a scattered bucket number spreads them.
+        scattered = mix64(place[who[len(fresh) :]].astype(np.uint64) * _ODD + start.astype(np.uint64) + np.uint64(base)).view(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.arange(len(who)) >= len(fresh)),
+                pa.array(np.concatenate([bucket[fresh], scattered])),
+                pa.array(np.concatenate([around[fresh], none])),
+                pa.array(np.concatenate([check[fresh], none.astype(np.int32)])),
+                ids.take(pa.array(who)),
+                pa.array(uid[who]),
+                pa.array((np.concatenate([at[fresh] - offsets[owner[fresh]], start]) + base).astype(np.int32)),
+                pa.array(np.concatenate([np.zeros(len(fresh), np.int64), stop + base]).astype(np.int32)),
+            ],
+            names=["copied", "gram", "around", "check", "doc_id", "uid", "start", "stop"],
+        )
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_arenas()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", piece):
             data, offsets = bytes_and_offsets(plain_strings(batch.column(2)))
-            rolling = Rolling(data)
-            at = anchors(rolling, offsets, length, gram)
-            owner = np.searchsorted(offsets, at, "right") - 1
-            left = np.maximum(offsets[owner], at - (length - gram))
-            right = np.minimum(offsets[owner + 1], at + length)
-            bucket = mix64(rolling.of(at, at + gram)).view(np.int64)
-            around = mix64(rolling.of(left, right) + mix64(((at - left) * 4096 + (right - at)).astype(np.uint64))).view(np.int64)
             ids, uid = batch.column(0), batch.column(1).to_numpy()
-            # Null ids come first.
-            known = np.asarray(ids.is_valid())
-            rank = np.lexsort((uid, np.where(known, ids.fill_null(0).to_numpy(), 0), known))
-            place = np.empty(len(rank), np.int64)
-            place[rank] = np.arange(len(rank))
-            by = np.lexsort((at, place[owner], around, bucket))
-            same = np.zeros(len(by), bool)
-            same[1:] = (bucket[by][1:] == bucket[by][:-1]) & (around[by][1:] == around[by][:-1])
-            fresh, copies = by[~same], by[same]
-            who, start, stop = _merge_spans(owner[copies], left[copies] - offsets[owner[copies]], right[copies] - offsets[owner[copies]])
-            who = np.concatenate([owner[fresh], who])
-            none = np.zeros(len(start), np.int64)
-            # Settled spans pass through the buckets' shuffle; a scattered bucket number spreads them.
-            scattered = mix64(uid[who[len(fresh) :]].astype(np.uint64) * _ODD + start.astype(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(len(who)) >= len(fresh)),
-                    pa.array(np.concatenate([bucket[fresh], scattered])),
-                    pa.array(np.concatenate([around[fresh], none])),
-                    ids.take(pa.array(who)),
-                    pa.array(uid[who]),
-                    pa.array(np.concatenate([at[fresh] - offsets[owner[fresh]], start]).astype(np.int32)),
-                    pa.array(np.concatenate([np.zeros(len(fresh), np.int64), stop]).astype(np.int32)),
-                ],
-                names=["copied", "gram", "around", "doc_id", "uid", "start", "stop"],
-            )
+            if len(data) <= 2 * piece:
+                yield suffixes(data, offsets, ids, uid, 0, 0, None)
+                continue
+            # One long text: pieces of the strings that start in them, with all that surrounds their anchors.
+            for begin in range(0, len(data), piece):
+                low, high = max(0, begin - side), min(len(data), begin + piece + 2 * length)
+                yield suffixes(data[low:high], np.array([0, high - low]), ids, uid, low, begin - low, begin - low + piece)
 
     return keyed.select("doc_id", "uid", "text").mapInArrow(find, _SUFFIXES)
 
@@ -159,46 +193,83 @@ def _suffixes(keyed: DataFrame, length: int, gram: int) -> DataFrame:
 def _first_refinement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted suffixes in; out those with an equal, earlier surrounding (copied), and the first ones of buckets with several surroundings.
 
-    Spans that are settled already (copied, with a stop) pass through.
+    Spans that are settled already (copied, with a stop) pass through; of an anchor that two pieces of a text share one goes on.
     One row is held back between batches: the first of a bucket, until another surrounding follows or not.
     """
-    gram = around = None
-    several = False  # whether the bucket at the end of the last batch has shown two surroundings
+    before: tuple | None = None
     held: pa.RecordBatch | None = None
     for batch in batches:
         settled = batch.filter(batch.column(0))
         if settled.num_rows:
             yield settled
         batch = batch.filter(pc.invert(batch.column(0)))
-        if not batch.num_rows:
+        n = batch.num_rows
+        if not n:
             continue
-        g, a = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-        n = len(g)
-        new_gram = np.ones(n, bool)
-        new_gram[1:] = g[1:] != g[:-1]
-        new_gram[0] = gram is None or g[0] != gram
-        new_class = new_gram.copy()
-        new_class[1:] |= a[1:] != a[:-1]
-        new_class[0] |= around is None or a[0] != around
+        known = np.asarray(batch.column(4).is_valid())
+        columns = [batch.column(k).to_numpy() for k in (1, 2, 3)] + [known, batch.column(4).fill_null(0).to_numpy(), batch.column(5).to_numpy(), batch.column(6).to_numpy()]
+        new = []
+        for k, x in enumerate(columns):
+            differs = running_starts(x)
+            differs[0] = before is None or x[0] != before[k]
+            new.append(differs)
+        before = tuple(x[-1] for x in columns)
+        new_gram, new_class = new[0], new[0] | new[1] | new[2]
+        again = ~(new_class | new[3] | new[4] | new[5] | new[6])
         firsts = np.flatnonzero(new_class)
         if held is not None and len(firsts):
             if not new_gram[firsts[0]]:
                 yield held
-                several = True
             held = None
         opens = new_gram[firsts]
         # The first of a bucket is refined further only if the next first is of the same bucket.
         follows = np.append(~opens[1:], False)
-        chosen = firsts[~opens | follows]
         keep = np.zeros(n, bool)
-        keep[chosen] = True
-        keep |= ~new_class
+        keep[firsts[~opens | follows]] = True
+        keep |= ~new_class & ~again
         out = batch.filter(pa.array(keep))
         yield out.set_column(0, "copied", pa.array(~new_class[keep]))
         if len(firsts) and opens[-1]:
             held = batch.slice(int(firsts[-1]), 1)
             held = held.set_column(0, "copied", pa.array([False]))
-        gram, around = g[-1], a[-1]
+
+
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """Bucket identifiers in the order of the values."""
+    return np.unique(x, return_inverse=True)[1].reshape(x.shape)
+
+
+def _suffix_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of bytes: their order, and the length of the common prefix of each with the one before it there."""
+    words = np.ascontiguousarray(rows).view(">u8").astype(np.uint64)
+    ids = _ranks(words)
+    while ids.shape[1] > 1:
+        # Identifiers at an offset, refined by those at the offset they end at.
+        odd = ids[:, ids.shape[1] - ids.shape[1] % 2 :]
+        pairs = ids[:, 0 : ids.shape[1] - 1 : 2] * (int(ids.max()) + 1) + ids[:, 1::2]
+        ids = np.concatenate([_ranks(pairs), odd], axis=1) if odd.shape[1] else _ranks(pairs)
+    by = np.argsort(ids[:, 0], kind="stable")
+    common = np.zeros(len(rows), np.int64)
+    for i in range(1, len(rows), 16_384):
+        differs = rows[by[i : i + 16_384]] != rows[by[i - 1 : i - 1 + len(by[i : i + 16_384])]]
+        common[i : i + 16_384] = np.where(differs.any(1), differs.argmax(1), rows.shape[1])
+    return by, common
+
+
+class _Prefixes:
+    """Buckets of the prefixes of rows of bytes, of any length."""
+
+    def __init__(self, rows: np.ndarray):
+        self.by, self.common = _suffix_order(rows)
+        nearest = np.maximum(self.common, np.append(self.common[1:], 0))
+        #: The longest prefix that each row has in common with another one.
+        self.shared = np.empty(len(rows), np.int64)
+        self.shared[self.by] = nearest
+
+    def buckets(self, length: int) -> np.ndarray:
+        out = np.empty(len(self.by), np.int64)
+        out[self.by] = np.cumsum(self.common < length)
+        return out
 
 
 def _last_refinement(length: int, gram: int):
@@ -207,37 +278,34 @@ def _last_refinement(length: int, gram: int):
 
     def spans_of(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
-        bucket = table["gram"].combine_chunks().to_numpy()
-        data, cuts = bytes_and_offsets(table["bytes"].combine_chunks())
-        left = table["left"].combine_chunks().to_numpy().astype(np.int64)
+        column = lambda name: table[name].combine_chunks()
+        data, cuts = bytes_and_offsets(column("bytes"))
+        left = column("left").to_numpy().astype(np.int64)
+        low, high = column("low").to_numpy(), column("high").to_numpy()
         right = np.diff(cuts) - left
-        rolling = Rolling(data)
         at = cuts[:-1] + left
-        low, high = np.full(len(at), length, np.int64), np.full(len(at), -1, np.int64)
-        owners, starts, stops = [], [], []
-        group = np.cumsum(np.concatenate([[0], (bucket[1:] != bucket[:-1]).astype(np.int64)])).astype(np.uint64)
+        padded = np.concatenate([np.zeros(side + 8, np.uint8), data, np.zeros(length + 8, np.uint8)])
+        # Whole words of bytes from the anchor on, and from the one before it backwards.
+        after = padded[(at + side + 8)[:, None] + np.arange(-(-length // 8) * 8)]
+        back = padded[(at + side + 7)[:, None] - np.arange(-(-side // 8) * 8)]
+        after, back = _Prefixes(after), _Prefixes(back)
+        owners, befores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for before in range(side + 1):
-            rows = np.flatnonzero((left >= before) & (right >= length - before))
-            if not len(rows):
+            able = (left >= before) & (right >= length - before) & (low <= before) & (before <= high)
+            rows = np.flatnonzero(able & (back.shared >= before) & (after.shared >= length - before))
+            if len(rows) < 2:
                 continue
-            begin = at[rows] - before
-            key = mix64(mix64(rolling.of(begin, begin + length)) + group[rows] * _ODD)
+            key = back.buckets(before)[rows] * (len(left) + 1) + after.buckets(length - before)[rows]
             by = np.argsort(key, kind="stable")
-            again = np.zeros(len(rows), bool)
-            again[by[1:]] = key[by[1:]] == key[by[:-1]]
-            hit = rows[again]
-            owners.append(hit)
-            starts.append(np.full(len(hit), before))
-        if owners:
-            owner = np.concatenate(owners)
-            before = np.concatenate(starts)
-        else:
-            owner = before = np.zeros(0, np.int64)
-        place = table["start"].combine_chunks().to_numpy().astype(np.int64)
+            again = by[~running_starts(key[by])]
+            owners.append(rows[again])
+            befores.append(np.full(len(again), before))
+        owner, before = np.concatenate(owners), np.concatenate(befores)
+        place = column("start").to_numpy().astype(np.int64)
         who, start, stop = _merge_spans(owner, place[owner] - before, place[owner] - before + length)
         take = pa.array(who)
         return pa.RecordBatch.from_arrays(
-            [table["doc_id"].combine_chunks().take(take), table["uid"].combine_chunks().take(take), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))],
+            [column("doc_id").take(take), column("uid").take(take), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))],
             names=["doc_id", "uid", "start", "stop"],
         )
 
@@ -253,8 +321,8 @@ def _last_refinement(length: int, gram: int):
             if rows < 20_000:
                 continue
             table = pa.Table.from_batches(held)
-            g = table["gram"].combine_chunks().to_numpy()
-            cut = int(np.flatnonzero(g != g[-1])[-1]) + 1 if g[0] != g[-1] else 0
+            g = table["key"].combine_chunks().to_numpy()
+            cut = int(np.flatnonzero(running_starts(g))[-1])
             if cut:
                 yield spans_of(table.slice(0, cut))
             held, rows = table.slice(cut).to_batches(), table.num_rows - cut
@@ -264,104 +332,103 @@ def _last_refinement(length: int, gram: int):
     return refine
 
 
+_SURROUNDINGS = ("key", "doc_id", "uid", "start", "left", "bytes", "low", "high")
+
+
 def _surroundings(keyed: DataFrame, chosen: DataFrame, length: int, gram: int) -> DataFrame:
-    """The bytes around each chosen suffix: gram, doc_id, uid, start, left (bytes before the anchor), bytes."""
+    """The bytes around each chosen suffix: key (its bucket), doc_id, uid, start, left (bytes before the anchor), bytes, and low and high: the least and most bytes that its strings have before the anchor."""
     per_doc = chosen.groupBy("doc_id", "uid").agg(F.collect_list("start").alias("starts"), F.collect_list("gram").alias("grams"))
     joined = per_doc.join(keyed.select(F.col("doc_id").alias("d"), F.col("uid").alias("u"), "text"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("uid") == F.col("u")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_arenas()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PIECE):
             data, offsets = bytes_and_offsets(plain_strings(batch.column(4)))
-            counts = np.diff(batch.column(2).offsets.to_numpy())
+            counts = pc.list_value_length(batch.column(2)).to_numpy()
             start, grams = batch.column(2).flatten().to_numpy().astype(np.int64), batch.column(3).flatten()
             owner = np.repeat(np.arange(batch.num_rows), counts)
             at = offsets[owner] + start
             low = np.maximum(offsets[owner], at - (length - gram))
             high = np.minimum(offsets[owner + 1], at + length)
-            for i in range(0, len(at), 50_000):
-                part = slice(i, i + 50_000)
+            for i in range(0, len(at), 20_000):
+                part = slice(i, i + 20_000)
                 sizes = high[part] - low[part]
                 cuts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 raw = data[ragged_index(low[part], sizes)]
                 who = pa.array(owner[part])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        grams.slice(i, 50_000),
+                        grams.slice(i, 20_000),
                         batch.column(0).take(who),
                         batch.column(1).take(who),
                         pa.array(start[part].astype(np.int32)),
                         pa.array((at[part] - low[part]).astype(np.int32)),
                         pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(cuts), pa.py_buffer(raw)]),
                     ],
-                    names=["gram", "doc_id", "uid", "start", "left", "bytes"],
+                    names=["key", "doc_id", "uid", "start", "left", "bytes"],
                 )
 
     picked = joined.select("doc_id", "uid", "starts", "grams", "text")
-    return picked.mapInArrow(cut, "gram long, doc_id long, uid long, start int, left int, bytes binary")
-
-
-def _window_hashes(length: int, gram: int):
-    """Each string around an anchor by itself, for buckets too large for one task."""
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, cuts = bytes_and_offsets(batch.column(5))
-            left = batch.column(4).to_numpy().astype(np.int64)
-            place = batch.column(3).to_numpy().astype(np.int64)
-            rolling = Rolling(data)
-            for before in range(length - gram + 1):
-                rows = np.flatnonzero((left >= before) & (np.diff(cuts) - left >= length - before))
-                begin = cuts[:-1][rows] + left[rows] - before
-                who = pa.array(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(mix64(rolling.of(begin, begin + length)).view(np.int64)), batch.column(1).take(who), batch.column(2).take(who), pa.array((place[rows] - before).astype(np.int32))],
-                    names=["key", "doc_id", "uid", "start"],
-                )
-
-    return explode
-
-
-def _once(keyed: DataFrame, tag: str) -> tuple[DataFrame, DataFrame | None]:
-    """One row of each (doc_id, uid), and the rows that repeat them; None where none does."""
-    repeated = keyed.groupBy("doc_id", "uid").count().where(F.col("count") > 1)
-    if repeated.isEmpty():
-        return keyed, None
-    # Row numbers are stored, so both parts agree on them; they are unique, so no join by them is uneven.
-    rows = materialize(keyed.withColumn("row", F.monotonically_increasing_id()), "numbered-rows", tag)
-    firsts = rows.groupBy("doc_id", "uid").agg(F.min("row").alias("row")).select("row")
-    once = materialize(rows.join(firsts, "row", "left_semi").select(*keyed.columns), "distinct-rows", tag)
-    return once, rows.join(firsts, "row", "left_anti").select(*keyed.columns)
+    around = picked.mapInArrow(cut, "key long, doc_id long, uid long, start int, left int, bytes binary")
+    return around.withColumn("low", F.lit(0)).withColumn("high", F.lit(length - gram))
+
+
+def _core(length: int) -> Column:
+    """The bytes that all strings of a bucket have in common."""
+    return F.substring(F.col("bytes"), F.col("left") - F.col("low") + 1, F.col("low") + length - F.col("high"))
+
+
+def _finer(buckets: DataFrame, length: int) -> DataFrame:
+    """Each bucket cut in two by the place of the anchor in its strings."""
+    middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+    halves = F.array(F.struct(F.col("low").alias("l"), middle.alias("h")), F.struct((middle + 1).alias("l"), F.col("high").alias("h")))
+    rows = buckets.withColumn("half", F.explode(halves)).withColumn("low", F.col("half.l")).withColumn("high", F.col("half.h"))
+    rows = rows.where((F.col("left") >= F.col("low")) & (F.octet_length("bytes") - F.col("left") >= length - F.col("high")))
+    return rows.withColumn("key", F.xxhash64("low", "high", _core(length))).select(*_SURROUNDINGS)
+
+
+def _fitting(buckets: DataFrame, length: int, tag: str) -> tuple[DataFrame, DataFrame]:
+    """Buckets that fit a task, and the spans of single strings whose bucket does not."""
+    spans, parts, wide = None, None, buckets
+    while True:
+        wide = materialize(_finer(wide, length), "finer-buckets", tag)
+        large = wide.groupBy("key").count().where(F.col("count") > BUCKET_ROWS).select("key")
+        fits = wide.join(large, "key", "left_anti").select(*_SURROUNDINGS)
+        parts = fits if parts is None else parts.unionByName(fits)
+        wide = wide.join(large, "key", "left_semi").select(*_SURROUNDINGS)
+        # Nothing is left to refine where every string has the anchor at the same place: it is the core.
+        strings = wide.where("low = high").select(F.sha2(_core(length), 256).alias("string"), "doc_id", "uid", (F.col("start") - F.col("low")).alias("start"))
+        first = strings.groupBy("string").agg(F.min(F.struct("doc_id", "uid", "start")).alias("first"))
+        again = strings.join(first, "string").where(~F.struct("doc_id", "uid", "start").eqNullSafe(F.col("first")))
+        again = again.select("doc_id", "uid", "start", (F.col("start") + length).alias("stop"))
+        spans = again if spans is None else spans.unionByName(again)
+        wide = wide.where("low < high")
+        if wide.isEmpty():
+            return parts, spans
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", tag: str = "") -> DataFrame:
     """Spans (doc_id, uid, start, stop) that cover exactly the bytes of strings which also start earlier; they may overlap."""
-    once, _ = _once(_keyed(docs, id_col, text_col), tag)
-    return _spans(once, length, gram, tag)
+    return _spans(_keyed(docs, id_col, text_col, tag), length, gram, tag)
 
 
 def _spans(keyed: DataFrame, length: int, gram: int, tag: str) -> DataFrame:
-    """The same for rows (doc_id, uid, text) of which none repeats id and text."""
-    order = ["gram", "around", "doc_id", "uid", "start"]
-    suffixes = _suffixes(keyed, length, gram).repartition("gram").sortWithinPartitions(*order)
+    """The same for rows (doc_id, uid, text) of which none repeats id and uid."""
+    suffixes = _suffixes(keyed, length, gram).repartition("gram").sortWithinPartitions("gram", "around", "check", "doc_id", "uid", "start")
     settled = materialize(suffixes.mapInArrow(_first_refinement, _SUFFIXES), "refined", tag)
     # The whole surroundings of a copied suffix, or a span settled before.
     whole = F.col("stop") == 0
     low = F.when(whole, F.greatest(F.lit(0), F.col("start") - (length - gram))).otherwise(F.col("start"))
-    copies = settled.where("copied").select("doc_id", "uid", low.alias("start"), F.when(whole, F.col("start") + length).otherwise(F.col("stop")).alias("stop"))
+    spans = settled.where("copied").select("doc_id", "uid", low.alias("start"), F.when(whole, F.col("start") + length).otherwise(F.col("stop")).alias("stop"))
     chosen = settled.where(~F.col("copied")).select("gram", "doc_id", "uid", "start")
-    large = chosen.groupBy("gram").count().where(F.col("count") > BUCKET_ROWS).select("gram")
+    large = chosen.groupBy("gram").count().where(F.col("count") > BUCKET_ROWS).select(F.col("gram").alias("key"))
     around = _surroundings(keyed, chosen, length, gram)
-    spans = copies
     if not large.isEmpty():
         around = materialize(around, "surroundings", tag)
-        strings = around.join(large, "gram", "left_semi").select("gram", "doc_id", "uid", "start", "left", "bytes")
-        strings = strings.mapInArrow(_window_hashes(length, gram), "key long, doc_id long, uid long, start int").distinct()
-        first = strings.groupBy("key").agg(F.min(F.struct("doc_id", "uid", "start")).alias("first"))
-        again = strings.join(first, "key").where(~F.struct("doc_id", "uid", "start").eqNullSafe(F.col("first")))
-        spans = spans.unionByName(again.select("doc_id", "uid", "start", (F.col("start") + length).alias("stop")))
-        around = around.join(large, "gram", "left_anti").select("gram", "doc_id", "uid", "start", "left", "bytes")
-    refined = around.repartition("gram").sortWithinPartitions("gram", "doc_id", "uid", "start")
+        parts, more = _fitting(around.join(large, "key", "left_semi").select(*_SURROUNDINGS), length, tag)
+        around = around.join(large, "key", "left_anti").select(*_SURROUNDINGS).unionByName(parts)
+        spans = spans.unionByName(more)
+    refined = around.repartition("key").sortWithinPartitions("key", "doc_id", "uid", "start")
     return spans.unionByName(refined.mapInArrow(_last_refinement(length, gram), "doc_id long, uid long, start int, stop int"))
 
 
@@ -370,7 +437,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
 
     ``whole_characters``: a character that loses a byte goes whole, so what remains is valid UTF-8.
     """
-    keyed, later = _once(_keyed(docs, id_col, text_col, carry), tag)
+    keyed = _keyed(docs, id_col, text_col, tag, carry)
     spans = _spans(keyed.select("doc_id", "uid", "text"), length, gram, tag)
     per_doc = spans.groupBy("doc_id", "uid").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     per_doc = per_doc.select(F.col("doc_id").alias("d"), F.col("uid").alias("u"), "starts", "stops")
@@ -380,34 +447,35 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_arenas()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PIECE):
             data, offsets = bytes_and_offsets(plain_strings(batch.column(2)))
             counts = pc.fill_null(pc.list_value_length(batch.column(3)), 0).to_numpy()
             owner = np.repeat(np.arange(batch.num_rows), counts)
             begin = offsets[owner] + batch.column(3).flatten().to_numpy()
             end = np.minimum(offsets[owner] + batch.column(4).flatten().to_numpy(), offsets[owner + 1])
-            edge = np.bincount(begin, minlength=len(data) + 1) - np.bincount(end, minlength=len(data) + 1)
-            gone = np.cumsum(edge[:-1]) > 0
-            if whole_characters and len(data):
-                lead = np.flatnonzero((data & 0xC0) != 0x80)
-                sizes = np.diff(np.append(lead, len(data)))
-                gone = np.repeat(np.logical_or.reduceat(gone, lead), sizes)
-            opens = gone.copy()
-            opens[1:] &= ~gone[:-1]
-            inner = offsets[:-1][offsets[:-1] < offsets[1:]]
-            opens[inner] = gone[inner]
-            total = np.concatenate([[0], np.cumsum(gone)])
-            runs = np.concatenate([[0], np.cumsum(opens)])
-            kept = data[~gone]
-            cuts = (offsets - total[offsets]).astype(np.int32)
+            owner, begin, end = _merge_spans(owner, begin, end)
+            if whole_characters:
+                # A character has at most three bytes after its first.
+                for _ in range(3):
+                    begin = begin - ((data[begin] & 0xC0) == 0x80)
+                    inner = np.flatnonzero(end < offsets[owner + 1])
+                    end[inner] += (data[end[inner]] & 0xC0) == 0x80
+                owner, begin, end = _merge_spans(owner, begin, end)
+            edge = np.zeros(len(data) + 1, np.int8)
+            edge[begin] += 1
+            edge[end] -= 1
+            gone = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+            removed = np.bincount(owner, end - begin, batch.num_rows).astype(np.int64)
+            sizes = np.diff(offsets)
+            cuts = np.concatenate([[0], np.cumsum(sizes - removed)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(1),
-                    pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(kept))]),
-                    pa.array(np.diff(offsets)),
-                    pa.array(np.diff(total[offsets])),
-                    pa.array(np.diff(runs[offsets])),
+                    pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data[~gone]))]),
+                    pa.array(sizes),
+                    pa.array(removed),
+                    pa.array(np.bincount(owner, minlength=batch.num_rows)),
                     *batch.columns[5:],
                 ],
                 names=["doc_id", "uid", "kept", "n_bytes", "n_removed", "n_spans", *names],
@@ -416,13 +484,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     schema = "doc_id long, uid long, kept binary, n_bytes long, n_removed long, n_spans long"
     types = {f.name: f.dataType.simpleString() for f in joined.schema}
     out = joined.mapInArrow(cut, ", ".join([schema, *(f"{n} {types[n]}" for n in names)]))
-    if later is not None:
-        # All that holds such a string starts earlier too, in the first of these rows.
-        data = F.col("text").cast("binary")
-        size = F.octet_length("text").cast("long")
-        gone = size >= length
-        cuts = (F.when(gone, F.lit(b"")).otherwise(data).alias("kept"), size.alias("n_bytes"), F.when(gone, size).otherwise(0).alias("n_removed"), gone.cast("long").alias("n_spans"))
-        out = out.unionByName(later.select("doc_id", "uid", *cuts, *names))
     return out.select("doc_id", "uid", "kept", "n_bytes", "n_removed", "n_spans", *(F.col(n).alias(c) for n, c in zip(names, carry, strict=True)))
 
 
