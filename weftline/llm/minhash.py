@@ -61,6 +61,8 @@ class NearLimits:
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Text bytes that a worker signs at once, and bytes of bags that it compares at once.
 SLICE, HELD = 2 << 20, 8 << 20
+#: Hashes of texts that are broadcast (8 bytes each); more go by a shuffle join alone.
+SENT = 2_000_000
 
 
 def shingle_bags(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -393,6 +395,10 @@ def near_classes(docs: DataFrame, limits: NearLimits = NearLimits(), id_col: str
     members = materialize(keys.join(shared, "key"), "buckets", work)
     busy = members.groupBy("node").agg(F.sum("n").alias("degree"))
     busy = materialize(busy.join(signed.select("node", "digest"), "node"), "busy", work)
+    if busy.count() <= SENT:
+        # Most texts share no bucket: with a small list of those that do, the others never enter a shuffle.
+        sent = F.broadcast(busy.select(F.xxhash64("digest").alias("h")))
+        rows = rows.join(sent, F.xxhash64("digest") == F.col("h"), "left_semi")
     texts = rows.join(busy.select("node", "digest"), "digest").groupBy("node").agg(F.first("text").alias("text"))
     bags = materialize(_bags(texts, limits), "bags", work)
 
