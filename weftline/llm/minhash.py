@@ -453,3 +453,24 @@ def keep_one(docs: DataFrame, limits: NearLimits = NearLimits(), id_col: str = "
     again = again.withColumn("r", F.row_number().over(Window.partitionBy("digest").orderBy("row"))).where("r = 1")
     out = once.select("row.*").unionByName(again.select("row.*"))
     return out.unionByName(docs.where(~text.rlike(_WORDS)))
+
+
+#: The query's rows in DuckDB SQL, over the view ``documents``: exact similarities of all texts that share a shingle.
+ORACLE = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, text, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS words FROM documents
+),
+texts AS (SELECT row_number() OVER (ORDER BY text) AS t, * FROM (SELECT text, any_value(words) AS words, min(doc_id) AS least, count(*) AS copies FROM docs WHERE len(words) > 0 GROUP BY text)),
+grams AS (
+  SELECT t, array_to_string(words[i:i+4], ' ') AS g FROM (SELECT t, words, unnest(range(1, greatest(2, len(words) - 3))) AS i FROM texts)
+),
+bags AS (SELECT t, g, count(*) AS c FROM grams GROUP BY t, g),
+sizes AS (SELECT t, sum(c) AS n FROM bags GROUP BY t),
+pairs AS (SELECT a.t AS a, b.t AS b, sum(least(a.c, b.c)) AS shared FROM bags a JOIN bags b ON a.g = b.g AND a.t < b.t GROUP BY a.t, b.t),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON a = x.t JOIN sizes y ON b = y.t WHERE shared >= 0.8 * (x.n + y.n - shared)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT t AS a, t AS b FROM texts UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a),
+classes AS (SELECT r.a AS t, min(x.least) AS class_id FROM reach r JOIN texts x ON r.b = x.t GROUP BY r.a)
+SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(x.copies, 1) AS copies
+FROM docs d LEFT JOIN texts x ON len(d.words) > 0 AND d.text = x.text LEFT JOIN classes c ON x.t = c.t
+"""

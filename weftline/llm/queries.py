@@ -95,5 +95,8 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_chat_format": chat_format.ORACLE,
+    "op7_quality_rules": quality.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
+    "op9_suffix_dedup": suffix_dedup.ORACLE,
+    "op10_minhash": minhash.ORACLE,
 }

@@ -490,3 +490,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
 def digests(cut: DataFrame) -> DataFrame:
     """One row a document with the digest of what remains."""
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The query's rows in DuckDB SQL, over the view ``documents`` with unique ids: every 100-byte string by itself.
+ORACLE = r"""
+WITH docs AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+sized AS (SELECT doc_id, hex(raw) AS h, octet_length(raw) AS n FROM docs),
+strings AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM sized WHERE n >= 100)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, i) AS k FROM strings) WHERE k > 1),
+opened AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS opens FROM again),
+runs AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM opened),
+spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM runs GROUP BY doc_id, run),
+gaps AS (
+  SELECT s.doc_id, s.a, coalesce(lag(s.b) OVER (PARTITION BY s.doc_id ORDER BY s.a), 0) AS from_, z.h FROM spans s JOIN sized z ON s.doc_id IS NOT DISTINCT FROM z.doc_id
+),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) AS part FROM gaps GROUP BY doc_id),
+totals AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last FROM spans GROUP BY doc_id)
+SELECT z.doc_id, z.n AS n_bytes, coalesce(t.n_removed, 0)::BIGINT AS n_removed, coalesce(t.n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(k.part, '') || substr(z.h, 2 * coalesce(t.last, 0) + 1))) AS kept_sha256
+FROM sized z LEFT JOIN totals t ON z.doc_id = t.doc_id LEFT JOIN kept k ON z.doc_id = k.doc_id
+"""
