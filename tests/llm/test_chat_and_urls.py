@@ -62,15 +62,43 @@ def test_rules_and_odd_urls(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
-def test_tree_generalises_and_rejects_by_purity(spark):
-    rules = (url_filter.Rule("block", "bad.com", "/ads/x"), url_filter.Rule("allow", "bad.com", "/news/1"))
-    urls = [f"x://bad.com/ads/x{i}" for i in range(30)] + [f"x://bad.com/ads/{i}y" for i in range(30)] + [f"x://bad.com/ads/z{i}" for i in range(5)] + [f"x://bad.com/news/{i}" for i in range(20)]
+def judged(spark, urls, rules, **limits):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    limits = url_filter.TreeLimits(min_children=3, min_share=0.01)
-    got = {r["page_id"]: (r["template"], r["verdict"]) for r in url_filter.judge(pages, rules, limits).collect()}
-    # Digits are one segment, so x#, #y and z# share the wildcard branch of /ads, which the labels of x# reject.
-    assert got[45] == ("ads/*", "block")
-    assert got[80] == ("news/#", "allow")
+    found = url_filter.judge(pages, rules, url_filter.TreeLimits(**limits)).collect()
+    return {urls[r["page_id"]]: (r["template"], r["verdict"]) for r in found}
+
+
+def test_wildcards_reach_the_levels_below(spark):
+    urls = [f"x://h.com/user/{chr(97 + a)}{chr(97 + b)}/s{chr(97 + b)}{chr(97 + a)}" for a in range(20) for b in range(20)]
+    # Pages of one url again and again change nothing.
+    got = judged(spark, urls + [urls[0]] * 2000, ())
+    assert set(got.values()) == {("user/*/*", "allow")}
+    # Neither do few children, or one that prevails.
+    few = [f"x://h.com/{c}/{i}" for c in "abcde" for i in range(9)]
+    assert {t for t, _ in judged(spark, few, ()).values()} == {f"{c}/#" for c in "abcde"}
+    most = [f"x://h.com/main/{chr(97 + a)}{chr(97 + b)}/x" for a in range(26) for b in range(26)] + [f"x://h.com/o{chr(97 + i)}" for i in range(22)]
+    assert {t.split("/")[0] for t, _ in judged(spark, most, ()).values()} == {"main"} | {f"o{chr(97 + i)}" for i in range(22)}
+    deep = ["x://h.com/" + "/".join("abcdefghijklmnop")]
+    assert judged(spark, deep, ())[deep[0]][0].count("/") == 11
+
+
+def test_tree_merges_branches_and_rejects_by_purity(spark):
+    names = [f"{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(6)]
+    rules = (url_filter.Rule("block", "bad.com", "/ads/x"), url_filter.Rule("allow", "bad.com", "/news/1"))
+    urls = [f"x://bad.com/ads/x{n}" for n in names] + [f"x://bad.com/ads/{n}y" for n in names] + [f"x://bad.com/news/{i}" for i in range(20)]
+    got = judged(spark, urls, rules)
+    # Labelled and other urls share the wildcard branch of /ads.
+    assert got["x://bad.com/ads/aay"] == ("ads/*", "block")
+    assert got["x://bad.com/news/9"] == ("news/#", "allow")
+    # Three branches of the same kind speak for a fourth without labels, one does not.
+    rules = tuple(url_filter.Rule("block", "s.com", f"/{c}/x") for c in "abc") + (url_filter.Rule("block", "t.com", "/a/x"),)
+    urls = [f"x://s.com/{c}/x/{i}" for c in "abc" for i in range(9)] + ["x://s.com/d/y", "x://t.com/d/y"] + [f"x://t.com/a/x{i}" for i in range(9)]
+    got = judged(spark, urls + [f"x://{h}.com/{c}/x{i}{e}" for h in "st" for c in "abc" for i in range(9) for e in "pq"], rules)
+    assert got["x://s.com/d/y"][1] == "block" and got["x://t.com/d/y"][1] == "allow"
+    # Of branches that differ each has its own share.
+    rules = (url_filter.Rule("block", "u.com", "/a"), url_filter.Rule("allow", "u.com", "/b"), url_filter.Rule("allow", "u.com", "/c"))
+    got = judged(spark, [f"x://u.com/{c}/{i}/z" for c in "abcd" for i in "pqrst"], rules)
+    assert got["x://u.com/d/p/z"][1] == "allow"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
