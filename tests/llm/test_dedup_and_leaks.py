@@ -224,7 +224,10 @@ def test_pipeline_does_what_its_stages_say(spark, tmp_path):
     frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
     frame.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    first = corpus_pipeline.run(spark, str(tmp_path))
     done = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    # A second run leaves what the first one's rows are read from.
+    assert {r["doc_id"] for r in first.collect()} == done
     assert done == set(range(40)) | {52, 53}
     cut = {r["doc_id"]: r for r in corpus_pipeline.exact_spans(spark, frame.where("doc_id in (52, 53)"), str(tmp_path)).collect()}
     assert shared in cut[52]["text"] and shared not in cut[53]["text"]
