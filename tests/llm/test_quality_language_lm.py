@@ -1,5 +1,6 @@
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -73,6 +74,23 @@ def test_forward_sums_over_all_segmentations():
     assert np.abs(language_id.forward(pa.array(words), v, table, 1e-9) - np.array([brute(w) for w in words])).max() < 1e-9
 
 
+def test_a_million_bytes_without_a_blank_take_seconds():
+    v = language_id.pieces(PIECE)
+    table = np.full((v.size, 4), 1 / v.size)
+    text = "".join(chr(0x4E00 + (i * i) % 5000) for i in range(340_000))
+    begun = time.perf_counter()
+    assert np.isfinite(language_id.forward(pa.array([text]), v, table, 1e-9)).all()
+    assert time.perf_counter() - begun < 10
+
+
+def test_more_languages_than_one_pass_takes(spark):
+    rng = np.random.default_rng(3)
+    data = [(i * 10 + k, " ".join(f"{chr(97 + i)}{chr(97 + i)}{w}" for w in rng.choice(["lo", "mi", "ra"], 12)), f"l{i}") for i in range(7) for k in range(10)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    one, many = ({r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in language_id.identify(docs, F.lit(False), PIECE, language_id.LanguageLimits(group=g)).collect()} for g in (64, 3))
+    assert one == many and {x for x, _ in one.values()} == {f"l{i}" for i in range(7)}
+
+
 def test_held_out_accuracy_and_odd_rows(spark):
     rng = np.random.default_rng(8)
     pools = {"en": "the of and with house water there light every morning".split(), "de": "der die und nicht haus wasser dort licht jeden morgen".split(), "fr": "le la et avec maison eau chaque matin lumière où".split()}
