@@ -20,7 +20,7 @@ def keep_arenas() -> None:
     with contextlib.suppress(OSError, AttributeError):
         libc = ctypes.CDLL("libc.so.6")
         libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
-        libc.mallopt(-1, 128 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-1, 48 << 20)  # M_TRIM_THRESHOLD
 
 
 SLICE_BYTES = 8 << 20

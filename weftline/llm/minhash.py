@@ -60,7 +60,7 @@ class NearLimits:
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Text bytes that a worker signs at once, and bytes of bags that it compares at once.
-SLICE, HELD = 2 << 20, 8 << 20
+SLICE, HELD = 1 << 20, 4 << 20
 #: Hashes of texts that are broadcast (8 bytes each); more go by a shuffle join alone.
 SENT = 2_000_000
 
