@@ -57,7 +57,7 @@ def _words(text: Column) -> Column:
 
 
 def common_words(docs: DataFrame, limits: QualityLimits, text_col: str = "text", lang_col: str = "lang", tag: str = "") -> tuple[DataFrame, DataFrame]:
-    """lang, commons, ref_words (their counts and that of all other words) by language, and the same of all documents (one row: all_commons, all_words)."""
+    """lang, commons, ref_words (their counts and that of all other words), longest (bytes) by language, and the same of all documents (one row, names led by all_)."""
     words = docs.select(F.col(lang_col).alias("lang"), F.explode(_words(F.lower(text_col))).alias("word"))
     fits = (F.octet_length("word") <= limits.common_bytes) & ~F.contains("word", F.lit("|"))
     counted = words.withColumn("word", F.when(fits, F.col("word"))).groupBy("lang", "word").agg(F.count("*").alias("n"))
@@ -71,13 +71,14 @@ def common_words(docs: DataFrame, limits: QualityLimits, text_col: str = "text",
         ordered = F.sort_array(F.collect_list(F.struct("n", "word")), asc=False)
         found = often.groupBy(*by).agg(ordered.alias("c"), F.first("total").alias("total"))
         others = F.col("total") - F.aggregate("c.n", F.lit(0).cast("long"), lambda a, x: a + x)
-        return found.select(*by, F.col("c.word").alias("commons"), F.concat(F.col("c.n"), F.array(others)).alias("ref_words"))
+        longest = F.array_max(F.transform("c.word", lambda w: F.octet_length(w)))
+        return found.select(*by, F.col("c.word").alias("commons"), F.concat(F.col("c.n"), F.array(others)).alias("ref_words"), longest.alias("longest"))
 
     by_lang = materialize(lists(counted.where("lang is not null"), ["lang"]), "language-words", tag)
     overall = lists(counted.groupBy("word").agg(F.sum("n").alias("n")), [])
     empty = F.array().cast
-    overall = overall.agg(F.first("commons").alias("commons"), F.first("ref_words").alias("words"))
-    overall = overall.select(F.coalesce("commons", empty("array<string>")).alias("all_commons"), F.coalesce("words", F.array(F.lit(0).cast("long"))).alias("all_words"))
+    overall = overall.agg(F.first("commons").alias("commons"), F.first("ref_words").alias("words"), F.first("longest").alias("longest"))
+    overall = overall.select(F.coalesce("commons", empty("array<string>")).alias("all_commons"), F.coalesce("words", F.array(F.lit(0).cast("long"))).alias("all_words"), F.coalesce("longest", F.lit(0)).alias("all_longest"))
     return by_lang, materialize(overall, "all-words", tag)
 
 
@@ -87,16 +88,15 @@ def features(docs: DataFrame, limits: QualityLimits = QualityLimits(), id_col: s
     kept = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *kept)
     # One row: its size is a constant.
-    df = df.join(by_lang, "lang", "left").crossJoin(F.broadcast(overall))
+    df = df.join(_sent(by_lang), "lang", "left").crossJoin(F.broadcast(overall))
+    df = df.withColumn("longest", F.coalesce("longest", "all_longest"))
     df = df.withColumn("ref_words", F.coalesce("ref_words", "all_words")).withColumn("common", F.coalesce("commons", "all_commons"))
     text = F.col("text")
     df = df.withColumn("words", _words(text))
     df = df.withColumn("lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     df = df.withColumn("n_words", F.size("words").cast("long"))
     # Short words between bars: every count of a common word is then a plain text search.
-    longest = F.array_max(F.transform("common", lambda w: F.octet_length(w)))
     short = F.filter("words", lambda w: F.octet_length(w) <= F.col("longest"))
-    df = df.withColumn("longest", F.coalesce(longest, F.lit(0)))
     df = df.withColumn("barred", F.concat(F.lit("|"), F.lower(F.array_join(short, "||")), F.lit("|")))
     word_chars = F.length(F.array_join("words", "")).cast("long")
     df = df.withColumn("beyond", F.regexp_replace(text, r"[\x00-\x7F]+", ""))
@@ -149,6 +149,15 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.when((total(p) > 0) & (total(q) > 0), F.sqrt(F.greatest(divergence, F.lit(0.0))))
 
 
+#: Languages whose rows are broadcast; more go by a shuffle join.
+SENT = 10_000
+
+
+def _sent(by_lang: DataFrame) -> DataFrame:
+    """The written rows of languages, of some hundred bytes each, for a broadcast if there are few: a shuffle by language has hot keys."""
+    return F.broadcast(by_lang) if by_lang.count() <= SENT else by_lang
+
+
 def references(feats: DataFrame, limits: QualityLimits) -> tuple[DataFrame, DataFrame]:
     """Summed character classes: by language (only those with words enough), and of all documents (one row)."""
     sums = [F.sum(F.get("chars", F.lit(i))).alias(f"c{i}") for i in range(N_CLASSES)]
@@ -166,6 +175,7 @@ def judge(docs: DataFrame, limits: QualityLimits = QualityLimits(), id_col: str
     feats = materialize(features(docs, limits, id_col, text_col, lang_col, carry, tag), "quality", tag)
     by_lang, overall = references(feats, limits)
     # One row: its size is a constant.
+    by_lang = _sent(materialize(by_lang, "language-classes", tag))
     scored = feats.join(by_lang, "lang", "left").crossJoin(F.broadcast(overall))
     scored = scored.withColumn("char_distance", js_distance(F.col("chars"), F.coalesce("ref_chars", "all_chars")))
     scored = scored.withColumn("word_distance", js_distance(F.col("commons"), F.col("ref_words")))
