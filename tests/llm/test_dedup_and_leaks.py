@@ -191,6 +191,23 @@ def test_leaks_are_found_and_clean_texts_left(spark):
     assert kept == {i for i, _ in docs} - {d for d, _ in got}
 
 
+def test_short_items_and_shards(spark):
+    rng = random.Random(14)
+    docs, items, leaked = leak_corpus(rng)
+    docs += [(400, "Zeta: theta, kappa lambda omega mu!"), (401, "yes."), (402, "oh yes"), (403, "kappa lambda omega"), (404, " ".join(rng.choices([f"v{i}" for i in range(900)], k=80)))]
+    tail = " ".join(f"q{i}" for i in range(9))
+    docs.append((405, docs[-1][1] + " " + tail + " " + docs[-2][1]))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame([*items, (50, "theta kappa lambda omega"), (51, "Yes"), (52, tail)], "item_id long, text string")
+    extra = {(400, 50), (401, 51), (405, 52)}
+    for limits in (decontaminate.LeakLimits(), decontaminate.LeakLimits(shard_bytes=1500)):
+        got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(frame, benchmark, limits).collect()}
+        assert extra <= got <= leaked | extra
+        assert len(got & leaked) >= 0.97 * len(leaked)
+    kept = {r["doc_id"] for r in decontaminate.drop_leaks(frame, benchmark, decontaminate.LeakLimits(shard_bytes=1500)).collect()}
+    assert kept == {i for i, _ in docs} - {d for d, _ in got}
+
+
 def test_leaks_on_odd_rows(spark):
     benchmark = spark.createDataFrame([(1, NORMAL), (2, LONG[:300])], "item_id long, text string")
     got = sorted((str(r["doc_id"]), r["item_id"]) for r in decontaminate.find_leaks(odd_docs(spark), benchmark).collect())
