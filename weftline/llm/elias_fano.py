@@ -11,6 +11,7 @@ from __future__ import annotations
 import mmap
 import os
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -188,23 +189,26 @@ class Trie:
         back = rest[2 * (n + pad) :]
         return first, count, pointers, successors, np.frombuffer(rest[: 2 * n], np.uint16), np.frombuffer(back[: 2 * count], np.uint16)
 
+    def _shards(self, contexts: np.ndarray) -> Iterator[tuple[tuple, np.ndarray]]:
+        """The shards that hold some of the contexts, each with the rows of those."""
+        by = np.argsort(contexts, kind="stable")
+        ordered = contexts[by]
+        cuts = np.append(np.searchsorted(ordered, self.firsts), len(by))
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            stop = cuts[k] + np.searchsorted(ordered[cuts[k] : cuts[k + 1]], self.firsts[k] + self.parts[k][1])
+            yield self.parts[k], by[cuts[k] : stop]
+
     def back_offs(self, contexts: np.ndarray) -> np.ndarray:
         """Log10 back-off weight of each context; 0 for those of no shard."""
         out = np.zeros(len(contexts))
-        shard = np.searchsorted(self.firsts, contexts, "right") - 1
-        for k in np.unique(shard[shard >= 0]).tolist():
-            first, count, back = self.parts[k][0], self.parts[k][1], self.parts[k][5]
-            rows = np.flatnonzero((shard == k) & (contexts < first + count))
-            out[rows] = restore(back[contexts[rows] - first])
+        for part, rows in self._shards(contexts):
+            out[rows] = restore(part[5][contexts[rows] - part[0]])
         return out
 
     def find(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Log10 probability of each (context, word); nan for pairs that the trie lacks."""
         out = np.full(len(contexts), np.nan)
-        shard = np.searchsorted(self.firsts, contexts, "right") - 1
-        for k in np.unique(shard[shard >= 0]).tolist():
-            first, count, _, successors, codes, _ = self.parts[k]
-            rows = np.flatnonzero((shard == k) & (contexts < first + count))
+        for (first, _, _, successors, codes, _), rows in self._shards(contexts):
             at = successors.index((contexts[rows] - first) * self.vocabulary + words[rows])
             hit = np.flatnonzero(at >= 0)
             out[rows[hit]] = restore(codes[at[hit]])

@@ -36,7 +36,7 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 0x20
 _MAPPED: dict[str, object] = {}
 #: Words and pairs of training tokens in one file, as a mean.
-FILE_WORDS, FILE_TOKENS = 1 << 19, 1 << 18
+FILE_WORDS, FILE_TOKENS = 1 << 19, 1 << 19
 #: Bytes of text whose pairs are counted, and scored, at once.
 COUNTED_BYTES, SCORED_BYTES = 4 << 20, 2 << 20
 
@@ -148,10 +148,11 @@ class Words:
             own = model.own[ids]
         else:
             own = np.where(ids == 1, model.ends, 0)
-            place = np.searchsorted(self.firsts, ids - 2, "right") - 1
-            for k in np.unique(place[ids > 1]).tolist():
+            by = np.argsort(ids, kind="stable")
+            cuts = np.searchsorted(ids[by], np.append(self.firsts + 2, max(model.size - 1, 2)))
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
                 first, _, counts = self.parts[model.words[k][0]]
-                rows = np.flatnonzero((place == k) & (ids > 1))
+                rows = by[cuts[k] : cuts[k + 1]]
                 own[rows] = counts[ids[rows] - 2 - first]
         smoothed = model.size - 1 if model.own is not None else model.kinds + 1
         return (own + model.smoothing) / (model.tokens + model.smoothing * smoothed)
