@@ -66,7 +66,7 @@ def common_words(docs: DataFrame, limits: QualityLimits, text_col: str = "text",
     def lists(counts: DataFrame, by: list[str]) -> DataFrame:
         totals = counts.groupBy(*by).agg(F.sum("n").alias("total")).where(F.col("total") >= limits.reference_words if by else F.lit(True))
         # At most 1 / common_share of them for each language.
-        often = counts.where("word is not null").join(totals, by) if by else counts.where("word is not null").crossJoin(F.broadcast(totals))
+        often = counts.where("word is not null").join(_sent(materialize(totals, "language-totals", tag)), by) if by else counts.where("word is not null").crossJoin(F.broadcast(totals))
         often = often.where(F.col("n") >= F.col("total") * limits.common_share)
         ordered = F.sort_array(F.collect_list(F.struct("n", "word")), asc=False)
         found = often.groupBy(*by).agg(ordered.alias("c"), F.first("total").alias("total"))
