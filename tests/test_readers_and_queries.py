@@ -9,9 +9,9 @@ from pyspark.sql import types as T
 
 from weftline.errors import ConstraintFailed, InvalidReference, NotFound, NotSingular, UnsupportedField, ValidationFailed
 from weftline.model import Entity, Field, Reference
-from weftline.operators import mutate
+from weftline.operators import hooks, mutate
 from weftline.operators.query import Catalog, Edge
-from weftline.sources.readers import belongs_to, column, has_many, many_to_many, read_classes, read_schema, read_tables, spark_type
+from weftline.sources.readers import Schema, SchemaEdge, belongs_to, column, has_many, many_to_many, read_classes, read_schema, read_schemas, read_tables, spark_type
 
 
 @dataclass
@@ -161,3 +161,58 @@ def test_command_line():
     assert run("nonsense").returncode == 2
     assert run("--help").returncode == 0
     assert run("explain", "--model", "tests.models:NONE").returncode == 1
+
+
+def test_writes_are_checked(spark):
+    entity = Entity("person", (Field("id", T.LongType(), primary_key=True), Field("name"), Field("nick", nullable=True)))
+    rows = spark.createDataFrame([(1, "a", None)], "id long, name string, nick string")
+    for bad in ("2.7D AS id, 'b' AS name", "2L AS id, 5 AS name", "CAST(NULL AS BIGINT) AS id, 'b' AS name", "2L AS id", "2L AS id, 'b' AS name, 1 AS other"):
+        with pytest.raises(ValidationFailed):
+            mutate.create(rows, spark.sql(f"SELECT {bad}"), entity)
+    assert {r["id"] for r in mutate.create(rows, spark.sql("SELECT 2 AS id, 'b' AS name"), entity).collect()} == {1, 2}
+    with pytest.raises(ValidationFailed):
+        mutate.update_where(rows, F.col("id") == 1, entity, name=None)
+    with pytest.raises(ValidationFailed):
+        mutate.update_where(rows, F.col("id") == 1, id=1.5)
+    with pytest.raises(ValidationFailed):
+        mutate.create_mapped(rows, [1], lambda item, i: {"id": "x", "name": "b"}, entity)
+    assert mutate.create_mapped(rows, [], lambda item, i: {}, entity).count() == 1
+
+
+def test_hooks_wrap_writes(spark):
+    rows = spark.createDataFrame([(1, "a")], "id long, name string")
+    mark = lambda text: lambda m, r: r.withColumn("name", F.concat("name", F.lit(text)))
+    db = Catalog({"t": rows, "u": rows}, {"t": "id", "u": "id"})
+    db.hooks = [hooks.chain(mark("1"), hooks.unless(mark("2"), hooks.UPDATE)), hooks.only_if(hooks.negated(hooks.on_tables("u")), mark("3")), hooks.on(mark("4"), hooks.UPDATE), hooks.reject(hooks.DELETE)]
+    assert db.write("t", hooks.CREATE, rows).first()["name"] == "a123"
+    assert db.query("t").only()["name"] == "a123"
+    assert db.write("u", hooks.UPDATE, rows).first()["name"] == "a14"
+    with pytest.raises(ValidationFailed, match="delete operation is not allowed on t"):
+        db.write("t", hooks.DELETE, rows)
+
+
+def test_edges_beside_columns_of_the_same_names(spark):
+    rows = spark.createDataFrame([(1, 5, 6, 7, 8)], "id long, _own long, _items long, _n long, _row long")
+    pets = spark.createDataFrame([(1, "x")], "owner long, name string")
+    db = Catalog({"p": rows, "pets": pets}, {"p": "id", "pets": "name"}, {("p", "pets"): Edge("pets", "id", "owner")})
+    got = db.query("p").with_edge("pets").with_neighbour_count("pets", "count").with_neighbour_field("pets", "name", "pet").only()
+    assert (got["_own"], got["_items"], got["_n"], got["_row"], got["count"], got["pet"], got["pets"][0]["name"]) == (5, 6, 7, 8, 1, "x", "x")
+
+
+def test_many_to_many_edges_of_schemas_are_reported_once():
+    key = T.StructType([T.StructField("id", T.LongType(), False, {"pk": True}), T.StructField("boss", T.LongType())])
+    model = read_schemas(
+        Schema("User", key, (SchemaEdge("groups", "Group", many=True), SchemaEdge("boss", "User", ("boss",), nullable=True), SchemaEdge("staff", "User", inverse=True))),
+        Schema("Group", key, (SchemaEdge("users", "User", many=True, inverse=True),)),
+    )
+    assert [(s.entity, s.field, s.reason) for s in model.skipped] == [("User", "groups", "many-to-many edge to Group")]
+    assert [e.references for e in model.entities()] == [(Reference(("boss",), "User", True),), ()]
+
+
+def test_links_of_a_bridge(spark):
+    bridge = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "a long, b long")
+    pair = spark.createDataFrame([(1, 2), (3, 3)], "a long, b long")
+    rows = lambda x: sorted((r["a"], r["b"]) for r in x.collect())
+    assert rows(mutate.add_links(bridge, pair)) == [(1, 1), (1, 2), (2, 1), (3, 3)]
+    assert rows(mutate.remove_links(bridge, pair)) == [(1, 1), (2, 1)]
+    assert rows(mutate.remove_links(bridge, pair.select("a"))) == [(2, 1)]

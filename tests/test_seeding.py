@@ -175,3 +175,13 @@ def test_sinks_and_guards(spark, tmp_path):
     assert create_table_sql(chain().entities()[0]).startswith("CREATE TABLE Root (ID bigint NOT NULL")
     with pytest.raises(MissingSession):
         Engine(None)
+
+
+def test_lowest_free_suffixes_by_rank(spark):
+    """Straight to the last resort: suffixes that others have are passed over, longer ones follow."""
+    entity = Entity("E", (Field("C", size=4, unique=True),))
+    taken = ["ab-0", "ab-3", "ab-9", "abcd"] + ["abcd"] * 9 + ["a-10", "a-12", "zz"]
+    rows = spark.createDataFrame(list(enumerate(taken)), "row_idx long, C string")
+    fixed = unique._by_rank(rows, entity, unique.keys_of(entity), "row_idx", "unique")
+    got = [r["C"] for r in fixed.orderBy("row_idx").collect()]
+    assert got == taken[:4] + ["ab-1", "ab-2", "ab-4", "ab-5", "ab-6", "ab-7", "ab-8"] + ["a-11", "a-13"] + taken[-3:]

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.errors import NotFound, NotSingular, ValidationFailed
+from weftline.operators.hooks import Hook, Mutation, chain
 
 
 def equal_fold(column: str, value: str) -> Column:
@@ -45,13 +46,13 @@ class Edge:
 
 @dataclass
 class Catalog:
-    """Tables by name with their primary keys and named edges; hooks wrap reads and writes."""
+    """Tables by name with their primary keys and named edges; interceptors wrap reads, hooks wrap writes."""
 
     tables: dict[str, DataFrame]
     keys: dict[str, str]
     edges: dict[tuple[str, str], Edge] = field(default_factory=dict)
     interceptors: list[Callable[[str, DataFrame], DataFrame]] = field(default_factory=list)
-    hooks: list[Callable[[str, DataFrame], DataFrame]] = field(default_factory=list)
+    hooks: list[Hook] = field(default_factory=list)
 
     def query(self, table: str) -> Query:
         rows = self.tables[table]
@@ -59,6 +60,12 @@ class Catalog:
             rows = wrap(table, rows)
         return Query(self, table, rows)
 
+    def write(self, table: str, op: str, rows: DataFrame, fields: tuple[str, ...] = ()) -> DataFrame:
+        """The table's rows after a mutation, once all hooks have seen them; later queries read them."""
+        stored = chain(*self.hooks)(Mutation(table, op, frozenset(fields)), rows)
+        self.tables[table] = stored
+        return stored
+
     def get(self, table: str, key: Any) -> Query:
         return self.query(table).where(F.col(self.keys[table]) == key)
 
@@ -149,22 +156,27 @@ class Query:
             pairs = self.catalog.tables[table].select(F.col(own).alias("_own"), F.col(other).alias("_other")).distinct()
             links = pairs.join(target.select(F.col(edge.other).alias("_other"), item.alias("_item")), "_other").select("_own", "_item")
         lists = links.groupBy("_own").agg(F.sort_array(F.collect_list("_item")).alias("_items"))
-        joined = self.rows.join(lists, self.rows[edge.own] == lists["_own"], "left").drop("_own")
         plain = F.transform("_items", lambda x: F.struct(*(x[n].alias(n) for n in names)))
-        empty = F.array().cast(joined.select(plain.alias("x")).schema["x"].dataType)
-        return self._with(joined.withColumn(name, F.coalesce(plain, empty)).drop("_items"))
+        lists = lists.select("_own", plain.alias("_list"))
+        empty = F.array().cast(lists.schema["_list"].dataType)
+        return self._beside(edge, lists, F.coalesce("_list", empty), name)
+
+    def _beside(self, edge: Edge, found: DataFrame, value: Column, name: str) -> Query:
+        """The rows with a column from ``found`` (by _own). They travel as one struct, so their own names can't clash with its."""
+        rows = self.rows.select(F.struct("*").alias("_row"))
+        joined = rows.join(found, F.col("_row")[edge.own] == F.col("_own"), "left")
+        return self._with(joined.select(*(F.col("_row")[c].alias(c) for c in self.rows.columns if c != name), value.alias(name)))
 
     def with_neighbour_count(self, name: str, alias: str) -> Query:
         edge = self._edge(name)
         counts = self._neighbour_keys(edge, ()).groupBy("_own").agg(F.count("*").alias("_n"))
-        joined = self.rows.join(counts, self.rows[edge.own] == counts["_own"], "left")
-        return self._with(joined.withColumn(alias, F.coalesce("_n", F.lit(0)).cast("long")).drop("_own", "_n"))
+        return self._beside(edge, counts, F.coalesce("_n", F.lit(0)).cast("long"), alias)
 
     def with_neighbour_field(self, name: str, column: str, alias: str) -> Query:
         """A column of the one neighbour over a to-one edge."""
         edge = self._edge(name)
-        other = self.catalog.query(edge.target).rows.select(F.col(edge.other).alias("_own"), F.col(column).alias(alias))
-        return self._with(self.rows.join(other, self.rows[edge.own] == other["_own"], "left").drop("_own"))
+        other = self.catalog.query(edge.target).rows.select(F.col(edge.other).alias("_own"), F.col(column).alias("_value"))
+        return self._beside(edge, other, F.col("_value"), alias)
 
     # Aggregation.
 

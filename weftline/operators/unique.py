@@ -33,12 +33,6 @@ def suffixed(value: Column, size: int, u: Column) -> Column:
     return F.concat(value if size <= 0 else F.substring(value, F.lit(1), F.lit(size) - F.length(suffix)), suffix)
 
 
-def ranked(value: Column, size: int, rank: Column) -> Column:
-    """``value`` with a given suffix number, cut to fit."""
-    suffix = F.concat(F.lit("-"), rank.cast("string"))
-    return F.concat(value if size <= 0 else F.substring(value, F.lit(1), F.lit(size) - F.length(suffix)), suffix)
-
-
 def rewrite_target(entity: Entity, key: tuple[str, ...]) -> str | None:
     """The field to rewrite: the key's last string; none if the key has no string or touches a reference."""
     if set(key) & entity.reference_fields:
@@ -88,35 +82,38 @@ def ensure_unique(rows: DataFrame, entity: Entity, seed: int, row_index: str = "
 
 
 def _by_rank(rows: DataFrame, entity: Entity, keys: list, row_index: str, tag: str) -> DataFrame:
-    """The last resort for tight domains: what still collides takes free suffixes in row order, as long as some are left.
+    """The last resort for tight domains: what still collides takes the lowest free suffixes in row order.
 
-    Rows whose values leave the same front before a one-digit suffix compete for the same suffixes; the
-    k-th of them takes the k-th free one. Rounds go on while any row finds a place.
+    Suffixes of one digit come first, then those of two, and so on. Rows whose values leave the same
+    front before the suffix compete for it: the k-th of them takes the k-th number that no value of that
+    front has. It is k and as many more as there are taken numbers with at most k free ones below
+    them, so one sorted pass over each front's rows and numbers finds it.
     """
     for key, target in keys:
         size = entity.field(target).size
-        room = 10 ** (9 if size <= 0 else min(size - 1, 9))
         rest = [k for k in key if k != target]
-        front = F.col(target) if size <= 0 else F.substring(target, 1, max(size - 2, 0))
-        while True:
+        for digits in range(1, (9 if size <= 0 else min(size - 1, 9)) + 1):
             left = materialize(conflicts(rows, key, row_index), "conflicts", tag)
-            count = left.count()
-            if not count:
+            if left.isEmpty():
                 break
-            number = F.row_number().over(Window.partitionBy(*rest, "_front").orderBy(row_index))
-            stuck = rows.join(left, row_index, "left_semi").withColumn("_front", front)
-            stuck = stuck.select(row_index, *rest, F.col(target).alias("_value"), number.alias("_rank"))
-            taken = rows.dropna(subset=list(key)).select(*key).distinct()
-            tries = min(room, rows.count() + count)
-            free = stuck.select(*rest, "_value").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("_n"))
-            free = free.withColumn(target, ranked(F.col("_value"), size, F.col("_n"))).join(taken, list(key), "left_anti")
-            free = free.withColumn("_rank", F.row_number().over(Window.partitionBy(*rest, "_value").orderBy("_n")))
-            chosen = stuck.join(free.withColumnRenamed(target, "_new").drop("_n"), [*rest, "_value", "_rank"])
-            chosen = materialize(chosen.select(row_index, "_new"), "chosen", tag)
-            if chosen.isEmpty():
-                raise UnsatisfiableUniqueness(f"too few unique values for {entity.name}.{target} after {ROUNDS} rounds")
+            least, room = (0, 10) if digits == 1 else (10 ** (digits - 1), 9 * 10 ** (digits - 1))
+            front = F.col(target) if size <= 0 else F.substring(target, 1, size - 1 - digits)
+            group = Window.partitionBy(*rest, "_front")
+            stuck = rows.join(left, row_index, "left_semi").select(*rest, front.alias("_front"), F.col(row_index).alias("_row"))
+            stuck = stuck.withColumn("_at", F.row_number().over(group.orderBy("_row")) - 1)
+            pattern = "(?s)^(.*)-([0-9])$" if digits == 1 else f"(?s)^(.*)-([1-9][0-9]{{{digits - 1}}})$"
+            taken = rows.dropna(subset=list(key)).where(F.col(target).rlike(pattern))
+            taken = taken.select(*rest, F.regexp_extract(target, pattern, 1).alias("_front"), (F.regexp_extract(target, pattern, 2).cast("long") - least).alias("_at")).distinct()
+            taken = taken.join(stuck.select(*rest, "_front").distinct(), [*rest, "_front"], "left_semi")
+            # Free numbers below each taken one.
+            taken = taken.withColumn("_at", F.col("_at") - (F.row_number().over(group.orderBy("_at")) - 1)).withColumn("_row", F.lit(None))
+            both = taken.unionByName(stuck).withColumn("_more", F.count_if(F.col("_row").isNull()).over(group.orderBy("_at", F.col("_row").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)))
+            chosen = both.where(F.col("_row").isNotNull() & (F.col("_at") + F.col("_more") < room))
+            chosen = chosen.select(F.col("_row").alias(row_index), F.concat("_front", F.lit("-"), (F.col("_at") + F.col("_more") + least).cast("string")).alias("_new"))
             rows = rows.join(chosen, row_index, "left").withColumn(target, F.coalesce("_new", target)).drop("_new")
             rows = materialize(rows, "repaired", tag)
+        if not conflicts(rows, key, row_index).isEmpty():
+            raise UnsatisfiableUniqueness(f"too few unique values for {entity.name}.{target} after {ROUNDS} rounds")
     for key, target in keys:
         if not conflicts(rows, key, row_index).isEmpty():
             raise UnsatisfiableUniqueness(f"could not make {entity.name}.{target} unique")

@@ -12,11 +12,13 @@ from pyspark.sql import types as T
 from weftline.functions import rules as R
 from weftline.functions.rng import long_tail, pick_sql, uniform, uniform_sql
 from weftline.model import Declared, Entity, Field, Options, Reference
-from weftline.operators import audit, link, mutate, unique
+from weftline.errors import NotFound, NotSingular, UnsatisfiableCycle
+from weftline.operators import audit, hooks, link, mutate, unique
 from weftline.operators.coverage import apply_overrides
 from weftline.operators.query import Catalog, Edge, Query, contains_fold, equal_fold
-from weftline.plans.generation import coverage_counts, plan_coverage
+from weftline.plans.generation import coverage_counts, plan_coverage, plan_generation
 from weftline.plans.graph import DependencyGraph
+from weftline.sources.readers import read_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,10 +128,10 @@ def audit_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.duplicates(table(spark, sf_dir, "part"), "p_name")
 
 
-@registered(f"SELECT c_custkey FROM customer WHERE {_MANAGER} = c_custkey")
+@registered("SELECT n_nationkey FROM nation WHERE n_regionkey = n_nationkey")
 def audit_self_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A7."""
-    return audit.self_loops(catalog(spark, sf_dir).tables["customer"], "manager", "c_custkey").select("c_custkey")
+    """Over a column that does hold some rows' own keys."""
+    return audit.self_loops(table(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey").select("n_nationkey")
 
 
 _CARDINALITY = "SELECT '{0}' AS reference, CASE WHEN n = 0 THEN 'zero' WHEN n = 1 THEN 'one' ELSE 'many' END AS children, count(*) AS parents FROM (SELECT p.{3}, count(c.{1}) AS n FROM {2} p LEFT JOIN {4} c ON p.{3} = c.{1} GROUP BY p.{3}) GROUP BY ALL"
@@ -178,10 +180,42 @@ def filter_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey = 17")
 def get_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q2, Q3, Q33-Q35: point lookup of chosen columns."""
+    """Q2, Q3: point lookup of chosen columns."""
     return catalog(spark, sf_dir).get("part", 17).select("p_partkey", "p_name", "p_size").all()
 
 
+@registered("""SELECT 'first' AS terminal, (SELECT c_name FROM customer ORDER BY c_custkey LIMIT 1) AS found
+UNION ALL SELECT 'only', (SELECT p_name FROM part WHERE p_partkey = 17)
+UNION ALL SELECT 'only of none', CASE WHEN (SELECT count(*) FROM part WHERE p_partkey = -1) = 0 THEN 'NotFound' END
+UNION ALL SELECT 'only of many', CASE WHEN (SELECT count(*) FROM part) > 1 THEN 'NotSingular' END
+UNION ALL SELECT 'exist', (count(*) > 0)::VARCHAR FROM orders
+UNION ALL SELECT 'count', count(*)::VARCHAR FROM orders
+UNION ALL SELECT 'ids', sum(c_custkey)::BIGINT::VARCHAR FROM customer
+UNION ALL SELECT 'scalars', string_agg(r_name, ',' ORDER BY r_regionkey) FROM region""")
+def terminals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q33-Q38: first, only, its errors, exist, count, ids, scalars."""
+    db = catalog(spark, sf_dir)
+
+    def error(query: Query) -> str | None:
+        try:
+            query.only()
+        except (NotFound, NotSingular) as raised:
+            return type(raised).__name__
+        return None
+
+    found = [
+        ("first", db.query("customer").order("c_custkey").first()["c_name"]),
+        ("only", db.get("part", 17).only()["p_name"]),
+        ("only of none", error(db.get("part", -1))),
+        ("only of many", error(db.query("part"))),
+        ("exist", str(db.query("orders").exist()).lower()),
+        ("count", str(db.query("orders").count())),
+        ("ids", str(db.query("customer").ids().agg(F.sum("c_custkey")).first()[0])),
+        ("scalars", ",".join(db.query("region").order("r_regionkey").scalars("r_name"))),
+    ]
+    return spark.createDataFrame(found, "terminal string, found string")
+
+
 @registered("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def edge_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q13, Q16."""
@@ -363,10 +397,48 @@ def child_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _draws(spark, sf_dir).groupBy("n").agg(F.count("*").alias("drivers"))
 
 
-@registered(f"SELECT c_custkey AS driver_row, least({_DRAW}, 4) AS capped, least({_DRAW}, 1) AS one FROM customer")
-def child_counts_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Caps of a junction of four and of a shared key."""
-    return _draws(spark, sf_dir).select("driver_row", F.least("n", F.lit(4).cast("long")).alias("capped"), F.least("n", F.lit(1).cast("long")).alias("one"))
+def _planned(name: str) -> str:
+    u = uniform_sql(f"'{SEED}'", "'plan'", f"'{name}'", "id::VARCHAR")
+    return _DRAW.replace(uniform_sql(f"'{SEED}'", "'plan'", "'orders'", "c_custkey::VARCHAR"), u)
+
+
+@registered(f"""WITH ids AS (SELECT unnest(range(400)) AS id),
+profile AS (SELECT sum(least({_planned("Profile")}, 1)) AS n FROM ids), membership AS (SELECT sum(least({_planned("Membership")}, 400 - 1)) AS n FROM ids)
+SELECT 'Member' AS entity, 400::BIGINT AS n_rows, 0 AS participants UNION ALL SELECT 'Profile', n::BIGINT, 0 FROM profile UNION ALL SELECT 'Membership', n::BIGINT, 1 FROM membership""")
+def planned_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shared key allows one row, a junction with its own entity one less than it has."""
+    key = Field("ID", T.LongType(), primary_key=True, auto_increment=True)
+    part = lambda n: Field(n, T.LongType(), primary_key=True)
+    entities = [
+        Entity("Member", (key,)),
+        Entity("Profile", (part("MemberID"),), (Reference(("MemberID",), "Member"),)),
+        Entity("Membership", (part("AID"), part("BID")), (Reference(("AID",), "Member"), Reference(("BID",), "Member"))),
+    ]
+    plans = plan_generation(spark, entities, *DependencyGraph(entities).resolve(), Options(SEED, 400))
+    return spark.createDataFrame([(p.entity, p.rows, len(p.participants)) for p in plans], "entity string, n_rows long, participants int")
+
+
+@registered("""WITH RECURSIVE edge(source, target, nullable) AS (VALUES ('Order', 'Contact', false), ('Contact', 'Order', true), ('Contact', 'Address', true), ('Address', 'Contact', false), ('Employee', 'Employee', true)),
+reach(a, b) AS (SELECT source, target FROM edge UNION SELECT r.a, e.target FROM reach r JOIN edge e ON r.b = e.source),
+cut AS (SELECT source, target FROM edge e WHERE nullable AND EXISTS (SELECT 1 FROM reach r WHERE r.a = e.target AND r.b = e.source)),
+kept AS (SELECT source, target FROM edge EXCEPT SELECT source, target FROM cut),
+depth(name, d) AS (SELECT DISTINCT source, 0 FROM edge WHERE source NOT IN (SELECT source FROM kept) UNION ALL SELECT k.source, d + 1 FROM kept k JOIN depth ON k.target = depth.name)
+SELECT name AS entity, max(d)::BIGINT AS depth, (SELECT string_agg(target, ',' ORDER BY target) FROM cut WHERE source = name) AS deferred, 'A -> B -> A; C -> D -> C' AS stuck FROM depth GROUP BY name""")
+def cycle_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nullable references that close a cycle are deferred; every required cycle is named."""
+    make = lambda name, *refs: Entity(name, (), tuple(Reference((f"{t}ID",), t, n) for t, n in refs))
+    order, deferred = DependencyGraph([make("Order", ("Contact", False)), make("Contact", ("Order", True), ("Address", True)), make("Address", ("Contact", False)), make("Employee", ("Employee", True))]).resolve()
+    try:
+        DependencyGraph([make("A", ("B", False)), make("B", ("A", False)), make("C", ("D", False)), make("D", ("C", False), ("E", True)), make("E", ("C", False))]).resolve()
+        stuck = ""
+    except UnsatisfiableCycle as error:
+        stuck = str(error).split(": ", 1)[1]
+    late = {n: ",".join(sorted(d.target for d in deferred if d.entity == n)) or None for n in order}
+    held = {"Order": ["Contact"], "Address": ["Contact"]}
+    depth: dict[str, int] = {}
+    for name in order:
+        depth[name] = max((depth[t] + 1 for t in held.get(name, ())), default=0)
+    return spark.createDataFrame([(n, depth[n], late[n], stuck) for n in order], "entity string, depth long, deferred string, stuck string")
 
 
 @registered(f"SELECT row_number() OVER (ORDER BY driver_row, block_idx) - 1 AS row_idx, driver_row, block_idx FROM (SELECT c_custkey AS driver_row, unnest(range({_DRAW})) AS block_idx FROM customer)")
@@ -648,3 +720,50 @@ def seed_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     off = audit.violations(items, totals_off=F.abs(F.col("Total") - F.col("Price") * F.col("Quantity")) <= 0.011).select("totals_off")
     # One row each: constants in size.
     return people.crossJoin(F.broadcast(lost)).crossJoin(F.broadcast(lost_items)).crossJoin(F.broadcast(off))
+
+
+def _columns(name: str, key: str, to: dict[str, str]) -> str:
+    target = "CASE column_name " + " ".join(f"WHEN '{c}' THEN '{t}'" for c, t in to.items()) + " END" if to else "NULL::VARCHAR"
+    return f"SELECT '{name}' AS entity, column_name AS field, column_type = 'VARCHAR' AS is_string, column_type IN ('INTEGER', 'BIGINT', 'HUGEINT') AS is_integer, column_name = '{key}' AS is_key, {target} AS refers_to FROM (DESCRIBE {name})"
+
+
+@registered(" UNION ALL ".join(_columns(n, TABLE_KEYS[n], {fk: p for c, fk, p, _ in REFERENCES if c == n}) for n in ("region", "nation", "customer", "orders")))
+def read_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities, fields, keys and references of existing tables."""
+    names = ("region", "nation", "customer", "orders")
+    model = read_tables({n: table(spark, sf_dir, n) for n in names}, {n: (TABLE_KEYS[n],) for n in names}, {n: tuple(Reference((fk,), p) for c, fk, p, _ in REFERENCES if c == n) for n in names})
+    rows = []
+    for e in model.entities():
+        to = {f: r.target for r in e.references for f in r.fields}
+        rows += [(e.name, f.name, f.is_string, f.is_integer, f.primary_key, to.get(f.name)) for f in e.fields]
+    return spark.createDataFrame(rows, "entity string, field string, is_string boolean, is_integer boolean, is_key boolean, refers_to string")
+
+
+@registered("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 1 WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') THEN NULL WHEN o_orderkey % 5 = 0 AND o_custkey % 2 = 1 THEN NULL ELSE o_custkey END AS o_custkey FROM orders")
+def edge_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q48: edges of a set of parents are cleared, some removed, some added."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    building = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'")
+    odd = orders.where("o_orderkey % 5 = 0 and o_custkey % 2 = 1").select(F.col("o_orderkey").alias("child"), F.col("o_custkey").alias("parent"))
+    moved = orders.where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("child"), F.lit(1).cast(orders.schema["o_custkey"].dataType).alias("parent"))
+    rows = mutate.clear_children(orders, "o_custkey", building, "c_custkey")
+    return mutate.add_children(mutate.remove_children(rows, "o_orderkey", "o_custkey", odd), "o_orderkey", "o_custkey", moved)
+
+
+@registered("""SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT 100 + i, upper('land ' || i), 1 FROM range(3) AS t(i)""")
+def hooked_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q47, Q52, Q54: rows from a list, checked, and a hook that only creates go through."""
+    db = catalog(spark, sf_dir)
+    upper = lambda m, rows: rows.withColumn("n_name", F.upper("n_name"))
+    db.hooks = [hooks.only_if(hooks.both(hooks.on_tables("nation"), hooks.has_fields("n_name")), hooks.on(upper, hooks.CREATE)), hooks.reject(hooks.DELETE)]
+    nation = db.tables["nation"].select("n_nationkey", "n_name", "n_regionkey")
+    entity = Entity("nation", (Field("n_nationkey", T.LongType(), primary_key=True), Field("n_name")))
+    made = mutate.create_mapped(nation, range(3), lambda item, i: {"n_nationkey": 100 + i, "n_name": f"land {item}", "n_regionkey": 1}, entity)
+    return db.write("nation", hooks.CREATE, made, ("n_nationkey", "n_name", "n_regionkey"))
+
+
+@registered("SELECT count(*) FILTER (WHERE o_orderkey % 3 <> 0) AS only_left, count(*) FILTER (WHERE o_orderkey % 3 <> 0) AS only_right FROM orders")
+def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that two runs do not share."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return audit.same_rows(orders, orders.withColumn("o_custkey", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey")).otherwise(-F.col("o_custkey") - 1)))

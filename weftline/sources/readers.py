@@ -1,7 +1,7 @@
 """Reading models.
 
-``read_classes`` reads Python dataclasses; ``read_schema`` reads StructTypes whose fields carry
-metadata; ``read_tables`` reads existing DataFrames with declared keys. All give entities and skip reasons.
+``read_classes`` reads Python dataclasses; ``read_schema`` and ``read_schemas`` read StructTypes whose
+fields carry metadata, without and with declared edges; ``read_tables`` reads existing DataFrames with declared keys. All give entities and skip reasons.
 """
 
 from __future__ import annotations
@@ -179,6 +179,39 @@ def read_schema(name: str, schema: T.StructType, references: tuple[Reference, ..
     return Entity(name, tuple(made), references, tuple(u for u in unique if len(u) > 1 and set(u) <= known))
 
 
+@dataclass(frozen=True)
+class SchemaEdge:
+    """An edge that a schema declares. ``fields`` hold the target's key where this side owns it; ``many``: both sides have many."""
+
+    name: str
+    target: str
+    fields: tuple[str, ...] = ()
+    inverse: bool = False
+    many: bool = False
+    nullable: bool = False
+
+
+@dataclass(frozen=True)
+class Schema:
+    """A schema by name, with its edges and unique constraints."""
+
+    name: str
+    fields: T.StructType
+    edges: tuple[SchemaEdge, ...] = ()
+    unique: tuple[tuple[str, ...], ...] = ()
+
+
+def read_schemas(*schemas: Schema) -> Model:
+    """Entities of schemas. Edges that a side owns become its references; of an edge with many on both sides, which no column
+    holds, the side that is not the inverse one reports that it was skipped."""
+    entities, skipped = [], set()
+    for schema in schemas:
+        own = [e for e in schema.edges if e.fields and not e.inverse and not e.many]
+        skipped |= {SkipReason(schema.name, e.name, f"many-to-many edge to {e.target}") for e in schema.edges if e.many and not e.inverse}
+        entities.append(read_schema(schema.name, schema.fields, tuple(Reference(e.fields, e.target, e.nullable) for e in own), schema.unique))
+    return Model(tuple(entities), tuple(sorted(skipped, key=lambda s: (s.entity, s.field))))
+
+
 def read_tables(tables: dict[str, DataFrame], keys: dict[str, tuple[str, ...]], references: dict[str, tuple[Reference, ...]]) -> Model:
     """Entities of existing tables with declared keys."""
     out = []
