@@ -19,11 +19,11 @@ def keep_arenas() -> None:
     """Let the C allocator reuse freed blocks instead of mapping fresh pages for every large array."""
     with contextlib.suppress(OSError, AttributeError):
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
-        libc.mallopt(-1, 48 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 32 << 20)  # M_TRIM_THRESHOLD
 
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def plain_strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:

@@ -37,8 +37,8 @@ _FOLD[0x41:0x5B] += 0x20
 _MAPPED: dict[str, object] = {}
 #: Words and pairs of training tokens in one file, as a mean.
 FILE_WORDS, FILE_TOKENS = 1 << 19, 1 << 19
-#: Bytes of text whose pairs are counted, and scored, at once.
-COUNTED_BYTES, SCORED_BYTES = 4 << 20, 2 << 20
+#: Bytes of text whose words and pairs are counted, and scored, at once.
+COUNTED_BYTES, SCORED_BYTES = 2 << 20, 2 << 20
 
 
 @dataclass(frozen=True)
@@ -77,7 +77,9 @@ def word_counts(train: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_arenas()
-        for batch in slices(batches, "text"):
+        # The files of a model before are not asked for any more.
+        _MAPPED.clear()
+        for batch in slices(batches, "text", COUNTED_BYTES):
             codes, hashes, _ = _tokens(batch.column(0))
             n = np.bincount(codes, minlength=len(hashes)) if len(codes) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(hashes, END_HASH)), pa.array(np.append(n, batch.num_rows).astype(np.int64))], names=["hash", "n"])
