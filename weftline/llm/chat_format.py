@@ -4,8 +4,8 @@ A conversation is ``<s>`` and then, for each turn, ``[INST]`` role ``[/INST]`` t
 In roles and texts a backslash is doubled and one is put after the first character of each control
 string, so the output's control strings are the template's own and the texts come back exactly.
 
-For a batch, segment lengths, offsets and gather indices are computed in numpy, and all
-headers and contents are copied into one buffer at once. A conversation of more than
+For a batch, segment lengths, cumulative offsets and scatter indices are computed in numpy, and all
+headers and contents are copied into one preallocated Arrow buffer. A conversation of more than
 ``PART_BYTES`` becomes several consecutive parts, so no task ever holds all of one.
 
 Defined cases: a null text or role is empty; turns that tie go by role, then text; rows with a
@@ -29,6 +29,8 @@ from weftline.llm.columnar import bytes_and_offsets, keep_arenas, plain_strings,
 BEGIN, OPEN, CLOSE, END = "<s>", "[INST]", "[/INST]", "</s>"
 LEARNED_ROLE = "assistant"
 PART_BYTES = 8 << 20
+#: Bytes above which a segment is copied as one block, without an index for each byte.
+LONG_SEGMENT = 512
 
 _TURN = re.compile(re.escape(OPEN) + r"(.*?)" + re.escape(CLOSE) + r"(.*?)" + re.escape(END), re.DOTALL)
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
@@ -45,30 +47,42 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
+def _put(out: np.ndarray, at: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+    """Copy the segments ``data[starts[i] : starts[i] + lengths[i]]`` to ``out[at[i] :]``: short ones by scatter indices, long ones whole."""
+    short = np.flatnonzero(lengths <= LONG_SEGMENT)
+    out[ragged_index(at[short], lengths[short])] = data[ragged_index(starts[short], lengths[short])]
+    for i in np.flatnonzero(lengths > LONG_SEGMENT).tolist():
+        out[at[i] : at[i] + lengths[i]] = data[starts[i] : starts[i] + lengths[i]]
+
+
 def _assemble(table: pa.Table, first: np.ndarray, begins: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
     """Formatted conversations and their loss spans (code points). first: turns that open a conversation; begins: those that open an output row."""
     n = table.num_rows
     roles = plain_strings(table["role"])
     codes = roles.dictionary_encode()
-    heads = [f"{b}{OPEN}{r}{CLOSE}".encode() for r in escape(codes.dictionary).to_pylist() for b in ("", BEGIN)] + [END.encode()]
+    heads = [f"{b}{OPEN}{r}{CLOSE}".encode() for r in escape(codes.dictionary).to_pylist() for b in ("", BEGIN)]
     head_cuts = np.concatenate([[0], np.cumsum([len(h) for h in heads])])
     contents, cuts = bytes_and_offsets(escape(plain_strings(table["text"])))
-    source = np.concatenate([np.frombuffer(b"".join(heads), np.uint8), contents])
     head = 2 * codes.indices.to_numpy() + first
-    starts = np.stack([head_cuts[head], cuts[:-1] + head_cuts[-1], np.full(n, head_cuts[-2])], 1)
     lengths = np.stack([np.diff(head_cuts)[head], np.diff(cuts), np.full(n, len(END))], 1)
-    out = source[ragged_index(starts.ravel(), lengths.ravel())]
-    ends = np.cumsum(lengths.ravel())
+    ends = np.cumsum(lengths.ravel()).reshape(n, 3)
+    places = ends - lengths
+    # Everything is copied once, to its place in the buffer that the output array then owns.
+    buffer = pa.allocate_buffer(int(ends[-1, 2]))
+    out = np.frombuffer(buffer, np.uint8)
+    _put(out, places[:, 0], np.frombuffer(b"".join(heads), np.uint8), head_cuts[head], lengths[:, 0])
+    _put(out, places[:, 1], contents, cuts[:-1], lengths[:, 1])
+    out[places[:, 2, None] + np.arange(len(END))] = np.frombuffer(END.encode(), np.uint8)
     at = np.flatnonzero(begins)
-    row_cuts = np.append(ends.reshape(n, 3)[at, 2] - lengths[at].sum(1), len(out))
-    formatted = pa.StringArray.from_buffers(len(at), pa.py_buffer(row_cuts.astype(np.int32)), pa.py_buffer(out))
+    row_cuts = np.append(places[at, 0], len(out))
+    formatted = pa.StringArray.from_buffers(len(at), pa.py_buffer(row_cuts.astype(np.int32)), buffer)
     # Loss spans count code points from the row's start.
-    points = np.concatenate([[0], np.cumsum((out & 0xC0) != 0x80)])
+    points = np.concatenate([[0], np.cumsum((out & 0xC0) != 0x80, dtype=np.int32)])
     learned = np.flatnonzero(np.asarray(pc.equal(roles, LEARNED_ROLE)))
     row = np.searchsorted(at, learned, "right") - 1
     base = points[row_cuts[row]]
-    low = points[ends.reshape(n, 3)[learned, 0]] - base
-    high = points[ends.reshape(n, 3)[learned, 1]] - base
+    low = points[places[learned, 1]] - base
+    high = points[ends[learned, 1]] - base
     spans = np.searchsorted(row, np.arange(len(at) + 1)).astype(np.int32)
     as_list = lambda x: pa.ListArray.from_arrays(pa.array(spans), pa.array(x.astype(np.int32)))
     return formatted, as_list(low), as_list(high)
