@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +20,7 @@ from weftline.operators.coverage import apply_overrides
 from weftline.operators.query import Catalog, Edge, Query, contains_fold, equal_fold
 from weftline.plans.generation import coverage_counts, plan_coverage, plan_generation
 from weftline.plans.graph import DependencyGraph
-from weftline.sources.readers import read_tables
+from weftline.sources.readers import belongs_to, column, has_many, read_classes, read_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -228,6 +230,14 @@ def edge_exists_with(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog(spark, sf_dir).query("customer").has("orders", F.col("o_totalprice") > 300000).has("nation", F.col("n_regionkey") == 1).ids()
 
 
+@registered("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_totalprice > 200000)
+AND EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size < 20) AND EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l_suppkey AND s_nationkey < 12)""")
+def edge_ternary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q19: rows that join three entities, with a predicate on each."""
+    lines = catalog(spark, sf_dir).query("lineitem").has("orders", F.col("o_totalprice") > 200000).has("part", F.col("p_size") < 20)
+    return lines.has("supplier", F.col("s_nationkey") < 12).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").all()
+
+
 @registered("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey AND event_type = 'purchase')")
 def edge_not_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q15."""
@@ -647,14 +657,19 @@ def unique_rewrite_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.col("row_idx").alias("p_partkey"), F.when(F.col("_hit"), fresh).otherwise(F.col("p_name")).alias("p_name"))
 
 
-@registered("SELECT count(*) AS total, count(*) AS brand_names, count(*) AS type_names, 0::BIGINT AS too_long FROM part")
+@registered("""SELECT count(*) AS total, count(*) AS brand_names, count(*) AS type_names, 0::BIGINT AS too_long, count(*) FILTER (WHERE b = 1 AND t = 1) AS kept
+FROM (SELECT row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) AS b, row_number() OVER (PARTITION BY p_type, p_name ORDER BY p_partkey) AS t FROM part)""")
 def unique_rewrite_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two constraints that share a field, repaired together."""
+    """Two constraints that share a field, repaired together; the first row of each pair keeps its values."""
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_idx"), "p_brand", "p_type", "p_name")
     entity = Entity("part", (Field("p_brand"), Field("p_type"), Field("p_name", size=24)), (), (("p_brand", "p_name"), ("p_type", "p_name")))
-    fixed = unique.ensure_unique(rows, entity, SEED)
-    counts = fixed.agg(F.count("*").alias("total"), F.count_distinct("p_brand", "p_name").alias("brand_names"), F.count_distinct("p_type", "p_name").alias("type_names"), F.count_if(F.length("p_name") > 24).alias("too_long"))
-    return counts
+    before = rows.select("row_idx", F.struct("p_brand", "p_type", "p_name").alias("before"))
+    fixed = unique.ensure_unique(rows, entity, SEED).join(before, "row_idx")
+    same = F.struct("p_brand", "p_type", "p_name") == F.col("before")
+    return fixed.agg(
+        F.count("*").alias("total"), F.count_distinct("p_brand", "p_name").alias("brand_names"), F.count_distinct("p_type", "p_name").alias("type_names"),
+        F.count_if(F.length("p_name") > 24).alias("too_long"), F.count_if(same).alias("kept"),
+    )
 
 
 # Plans of a declared model.
@@ -739,6 +754,60 @@ def read_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "entity string, field string, is_string boolean, is_integer boolean, is_key boolean, refers_to string")
 
 
+@dataclass
+class _Region:
+    r_regionkey: int = column(pk=True, kind="int32")
+    r_name: str = column()
+
+
+@dataclass
+class _Nation:
+    references = (belongs_to("_Region", "n_regionkey"),)
+    n_nationkey: int = column(pk=True, kind="int32")
+    n_name: str = column()
+    n_regionkey: int = column(kind="int32")
+
+
+@dataclass
+class _Customer:
+    # Orders don't say whose they are: their customer does.
+    references = (belongs_to("_Nation", "c_nationkey"),)
+    children = (has_many("_Orders", "o_custkey"),)
+    c_custkey: int = column(pk=True)
+    c_name: str = column()
+    c_nationkey: int = column(kind="int32")
+    c_acctbal: float = column()
+    c_mktsegment: str = column()
+
+
+@dataclass
+class _Orders:
+    o_orderkey: int = column(pk=True)
+    o_custkey: int = column()
+    o_orderstatus: str = column()
+    o_totalprice: float = column()
+    o_orderdate: datetime.datetime = column()
+    o_orderpriority: str = column()
+
+
+def _class_sql(name: str) -> str:
+    to = "CASE column_name " + " ".join(f"WHEN '{fk}' THEN '{p}'" for _, fk, p, _ in REFERENCES) + " END"
+    kind = "CASE column_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' ELSE lower(column_type) END"
+    return f"SELECT '{name}' AS entity, column_name AS field, {kind} AS type, column_name = '{TABLE_KEYS[name]}' AS is_key, {to} AS refers_to FROM (DESCRIBE {name})"
+
+
+@registered(" UNION ALL ".join(map(_class_sql, ("region", "nation", "customer", "orders"))))
+def read_classes_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes that describe existing tables give those tables' fields, types, keys and references."""
+    # A class that is given twice counts once.
+    model = read_classes(_Region, _Nation, _Customer, _Orders, _Nation)
+    rows = []
+    for e in model.entities():
+        to = {f: r.target.strip("_").lower() for r in e.references for f in r.fields}
+        rows += [(e.name.strip("_").lower(), f.name, f.type.simpleString(), f.primary_key, to.get(f.name)) for f in e.fields]
+    return spark.createDataFrame(rows, "entity string, field string, type string, is_key boolean, refers_to string")
+
+
 @registered("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 1 WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') THEN NULL WHEN o_orderkey % 5 = 0 AND o_custkey % 2 = 1 THEN NULL ELSE o_custkey END AS o_custkey FROM orders")
 def edge_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q48: edges of a set of parents are cleared, some removed, some added."""
