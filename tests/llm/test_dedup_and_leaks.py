@@ -1,4 +1,5 @@
 import hashlib
+import inspect
 import random
 import re
 from collections import Counter, defaultdict
@@ -191,6 +192,44 @@ def test_leaks_are_found_and_clean_texts_left(spark):
     assert kept == {i for i, _ in docs} - {d for d, _ in got}
 
 
+def test_latent_space_is_that_of_all_documents(spark):
+    """The space of 6,000 documents equals the one of a matrix of all their passages."""
+    rng = random.Random(31)
+    words = ["the", "of", "and"] * 30 + [f"w{i}" for i in range(240)]
+    items = [rng.choices(words, k=rng.randint(16, 60)) for _ in range(12)]
+    docs = [rng.choices(words + [f"x{i}" for i in range(200)], k=rng.randint(0, 90)) for _ in range(6000)]
+    frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string").repartition(6)
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    limits = decontaminate.LeakLimits(rank=24)
+    queries = decontaminate.Queries([r["item_id"] for r in benchmark.collect()], [r["text"] for r in benchmark.collect()], limits)
+    feature = {w: int(f) for w, f in zip(sorted({x for t in items for x in t}), queries.find(decontaminate.hash_strings(pa.array(sorted({x for t in items for x in t})))), strict=True)}
+    held = np.zeros(len(feature))
+    for d in docs:
+        held[[feature[w] for w in set(d) if w in feature]] += 1
+    idf = np.log((len(docs) + 1) / (held + 1)) + 0.05
+    rows = []
+    for text in [*items, *docs]:
+        for i in range(0, len(text), limits.passage_words):
+            row = np.zeros(len(feature))
+            for w in text[i : i + limits.passage_words]:
+                if w in feature:
+                    row[feature[w]] += idf[feature[w]]
+            rows.append(row / max(np.linalg.norm(row), 1e-12))
+    gram = np.array(rows).T @ np.array(rows)
+    start = np.random.default_rng(31337).standard_normal((len(idf), limits.rank + limits.oversampling))
+    basis, _ = np.linalg.qr(gram @ start)
+    values, vectors = np.linalg.eigh(basis.T @ gram @ basis)
+    exact = basis @ vectors[:, np.argsort(-values)[: limits.rank]]
+    tables = {"text_col": "text", "item_col": "item_id", "item_text_col": "text"}
+    # Some of its arguments may name the documents' ids.
+    extra = {"id_col": "doc_id"} if "id_col" in inspect.signature(decontaminate.fit).parameters else {}
+    detector = next(iter(decontaminate.fit(frame, benchmark, limits, **tables, **extra)))
+    assert np.allclose(detector.idf, idf)
+    found = detector.rows / idf[:, None]
+    # All angles between the two spaces are small.
+    assert np.linalg.svd(exact.T @ found, compute_uv=False).min() > 0.999
+
+
 def test_short_items_and_shards(spark):
     rng = random.Random(14)
     docs, items, leaked = leak_corpus(rng)

@@ -1,9 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Features are the words of the benchmark's passages, weighted by inverse document frequencies
-over all documents. A randomised SVD of TF-IDF passages (the benchmark's, and those of a
-bounded sample of ``sample_docs`` documents in expectation) gives the latent space; its products run
-where the passages lie, only matrices of features by rank are summed. Windows of every
+over all documents. A randomised SVD of TF-IDF passages (the benchmark's, and those of all
+documents) gives the latent space; the features of all passages are written once, the products run
+where they lie, only matrices of features by rank are summed. Windows of every
 document, at three widths and a step of eight words, are candidates for the benchmark passages
 whose cosine reaches ``min_cosine``. A candidate is a leak when the longest common
 subsequence covers the benchmark passage by ``strong_cover``, or by ``weak_cover`` with the
@@ -21,6 +21,7 @@ benchmark, gives no leaks.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.columnar import encode_words, hash_strings, keep_arenas, plain_strings, ragged_index, slices, split_words
+from weftline.llm.columnar import encode_words, hash_strings, keep_arenas, plain_strings, ragged_index, running_starts, slices, split_words
+from weftline.scratch import materialize, sweep
 
 
 @dataclass(frozen=True)
 class LeakLimits:
     rank: int = 192
     oversampling: int = 16
-    sample_docs: int = 4000
     min_cosine: float = 0.6
     strong_cover: float = 0.7
     weak_cover: float = 0.5
@@ -45,6 +46,8 @@ class LeakLimits:
     exact_words: int = 4
     shard_bytes: int = 4 << 20
     passage_words: int = 64
+    #: Features whose products are dense; a matter of speed alone.
+    dense_features: int = 512
     #: Blocks of words, and the widths of the windows in blocks.
     block: int = 8
     widths: tuple[int, ...] = (3, 6, 12)
@@ -91,79 +94,117 @@ class Queries:
         return (found[codes] if len(codes) else np.zeros(0, np.int64)), bounds
 
 
-def _gram_product(features: np.ndarray, starts: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """A^T (A basis) for the unit TF-IDF rows that begin at ``starts``."""
-    out = np.zeros_like(basis)
-    row = np.searchsorted(starts, np.arange(len(features)), "right") - 1
+def _gram_product(columns: np.ndarray, times: np.ndarray, sizes: np.ndarray, idf: np.ndarray, often: np.ndarray, basis: np.ndarray, out: np.ndarray) -> None:
+    """Adds A^T (A basis) to ``out`` for the unit TF-IDF rows of passages: their features one after the other, the times of each, and the features a passage.
+
+    ``often``: features whose part of A is multiplied as a dense matrix; all others are gathered.
+    """
+    slot = np.full(len(idf), -1, np.int64)
+    slot[often] = np.arange(len(often))
+    dense = basis[often]
+    dense_out = np.zeros(dense.shape)
+    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    for i in range(0, len(sizes), 2048):
+        low, high = ends[i], ends[min(i + 2048, len(sizes))]
+        count = len(sizes[i : i + 2048])
+        row = np.repeat(np.arange(count), sizes[i : i + 2048])
+        value = times[low:high] * idf[columns[low:high]]
+        norm = np.sqrt(np.bincount(row, value**2, count))
+        value = (value / np.maximum(norm[row], 1e-12)).astype(np.float32)
+        place = slot[columns[low:high]]
+        common = np.flatnonzero(place >= 0)
+        block = np.zeros((count, len(often)), np.float32)
+        block[row[common], place[common]] = value[common]
+        image = block @ dense
+        rest = np.flatnonzero(place < 0)
+        row, column, value = row[rest], columns[low:high][rest], value[rest, None]
+        firsts = np.flatnonzero(running_starts(row))
+        if len(rest):
+            image[row[firsts]] += np.add.reduceat(value * basis[column], firsts, axis=0)
+            by = np.argsort(column, kind="stable")
+            firsts = np.flatnonzero(running_starts(column[by]))
+            out[column[by][firsts]] += np.add.reduceat(value[by] * image[row[by]], firsts, axis=0)
+        dense_out += block.T @ image
+    out[often] += dense_out
+
+
+def _feature_counts(features: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of passages that begin at ``starts``: the distinct features one after the other, the times of each, and their number a passage."""
+    row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(features))))
     inside = features >= 0
-    keys, times = np.unique(row[inside] * len(idf) + features[inside], return_counts=True)
-    rows, cols = keys // len(idf), keys % len(idf)
-    values = times * idf[cols]
-    norm = np.sqrt(np.bincount(rows, values**2, len(starts)))
-    values = values / np.maximum(norm[rows], 1e-12)
-    firsts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, np.int64)
-    for i in range(0, len(firsts), 1000):
-        low, high = firsts[i], firsts[i + 1000] if i + 1000 < len(firsts) else len(rows)
-        own = firsts[i : i + 1000] - low
-        part = values[low:high, None]
-        image = np.add.reduceat(part * basis[cols[low:high]], own, axis=0)
-        index = np.repeat(np.arange(len(own)), np.diff(np.append(own, high - low)))
-        by = np.argsort(cols[low:high], kind="stable")
-        used = cols[low:high][by]
-        starts_of = np.flatnonzero(np.concatenate([[True], used[1:] != used[:-1]]))
-        out[used[starts_of]] += np.add.reduceat(part[by] * image[index[by]], starts_of, axis=0)
-    return out
+    keys, times = np.unique(row[inside] * n + features[inside], return_counts=True)
+    sizes = np.bincount(keys // n, minlength=len(starts)) if len(keys) else np.zeros(len(starts), np.int64)
+    return (keys % n).astype(np.int32), times.astype(np.int32), sizes[sizes > 0].astype(np.int32)
 
 
-def document_frequencies(docs: DataFrame, queries: Queries, text_col: str) -> tuple[np.ndarray, int]:
-    """Documents that hold each feature, over all documents, and their number."""
+_PASSAGES = "docs long, held binary, times_held binary, features binary, times binary, sizes binary"
+
+
+def counted_passages(docs: DataFrame, queries: Queries, limits: LeakLimits, text_col: str, tag: str) -> DataFrame:
+    """A written table, one row a slice of ``docs``: its documents, those that hold each feature, and the features of all its passages."""
     shared = docs.sparkSession.sparkContext.broadcast(queries)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_arenas()
-        n, total = len(shared.value.hashes), 0
-        held = np.zeros(n, np.int64)
+        n = len(shared.value.hashes)
         for batch in slices(batches, "text"):
             features, bounds = shared.value.features(batch.column(0))
-            row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+            passages = -(-np.diff(bounds) // limits.passage_words)
+            starts = np.repeat(bounds[:-1], passages) + ragged_index(np.zeros(len(passages)), passages) * limits.passage_words
+            columns, times, sizes = _feature_counts(features, starts, n)
             inside = features >= 0
-            keys = np.unique(row[inside] * max(n, 1) + features[inside])
-            held += np.bincount(keys % max(n, 1), minlength=n)
-            total += batch.num_rows
+            row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+            held, times_held = np.unique(np.unique(row[inside] * n + features[inside]) % n, return_counts=True)
+            parts = (held.astype(np.int32), times_held.astype(np.int32), columns, times, sizes)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names=["docs", "held", "times_held", "features", "times", "sizes"])
+
+    return materialize(docs.select(F.col(text_col).alias("text")).mapInArrow(count, _PASSAGES), "passages", tag)
+
+
+def _ints(x: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(x.as_buffer(), np.int32)
+
+
+def document_frequencies(passages: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """Documents that hold each feature, over all documents, and their number."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = np.zeros(size, np.int64), 0
+        for batch in batches:
+            total += int(np.sum(batch.column(0).to_numpy()))
+            for features, times in zip(batch.column(1), batch.column(2), strict=True):
+                held[_ints(features)] += _ints(times)
         used = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(held[used], total))], names=["feature", "n"])
 
-    summed = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(len(queries.hashes) + 1, np.int64)
+    counted = passages.select("docs", "held", "times_held").mapInArrow(count, "feature long, n long")
+    summed = counted.groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size + 1, np.int64)
     out[summed["feature"].to_numpy()] = summed["n"].to_numpy()
     return out[:-1], int(out[-1])
 
 
-def latent_space(docs: DataFrame, queries: Queries, idf: np.ndarray, n_docs: int, limits: LeakLimits, id_col: str, text_col: str) -> np.ndarray:
-    """Orthonormal columns [features, rank]: the leading right singular vectors of the TF-IDF passages."""
+def latent_space(passages: DataFrame, queries: Queries, idf: np.ndarray, limits: LeakLimits) -> np.ndarray:
+    """Orthonormal columns [features, rank]: the leading right singular vectors of the TF-IDF passages, the benchmark's and those of all documents."""
     size = len(idf)
     rank = min(limits.rank, size)
     width = min(size, rank + limits.oversampling)
-    spark = docs.sparkSession
-    share = min(1.0, limits.sample_docs / max(n_docs, 1))
-    # A row's place between 0 and 1; the id keeps copies of one text apart.
-    place = F.shiftrightunsigned(F.xxhash64(id_col, text_col), 11) * F.lit(2.0**-53)
-    sample = docs.where(place < share).select(F.col(text_col).alias("text"))
-    own_starts = np.cumsum([0, *map(len, queries.words)])[:-1]
-    own = np.concatenate(queries.words)
+    spark = passages.sparkSession
+    # The features of most documents have the least weight.
+    often = np.argsort(idf, kind="stable")[: limits.dense_features]
+    own = _feature_counts(np.concatenate(queries.words), np.cumsum([0, *map(len, queries.words)])[:-1], size)
 
     def product(basis: np.ndarray) -> np.ndarray:
-        shared = spark.sparkContext.broadcast((queries, idf, basis))
+        basis = basis.astype(np.float32)
+        shared = spark.sparkContext.broadcast((idf, often, basis))
 
         def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, weights, matrix = shared.value
-            total = np.zeros_like(matrix)
-            for batch in slices(batches, "text", 1 << 20):
-                features, bounds = known.features(batch.column(0))
-                count = -(-np.diff(bounds) // limits.passage_words)
-                starts = np.repeat(bounds[:-1], count) + ragged_index(np.zeros(len(count)), count) * limits.passage_words
-                if len(starts):
-                    total += _gram_product(features, starts, weights, matrix)
+            keep_arenas()
+            weights, dense, matrix = shared.value
+            total = np.zeros(matrix.shape)
+            for batch in batches:
+                for features, times, sizes in zip(*batch.columns, strict=True):
+                    _gram_product(_ints(features), _ints(times), _ints(sizes), weights, dense, matrix, total)
             for i in range(0, size, 256):
                 if total[i : i + 256].any():
                     yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([total[i : i + 256].astype(np.float32).tobytes()], pa.binary())], names=["block", "sums"])
@@ -172,8 +213,11 @@ def latent_space(docs: DataFrame, queries: Queries, idf: np.ndarray, n_docs: int
             total = sum(np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for x in table["sums"])
             return pa.table({"block": table["block"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
-        sums = sample.mapInArrow(multiply, "block long, sums binary").groupBy("block").applyInArrow(add, "block long, sums binary").toArrow()
-        out = _gram_product(own, own_starts, idf, basis)
+        found = passages.select("features", "times", "sizes").mapInArrow(multiply, "block long, sums binary")
+        sums = found.groupBy("block").applyInArrow(add, "block long, sums binary").toArrow()
+        shared.destroy()
+        out = np.zeros(basis.shape)
+        _gram_product(*own, idf, often, basis, out)
         for block, raw in zip(sums["block"].to_pylist(), sums["sums"].to_pylist(), strict=True):
             rows = np.frombuffer(raw, np.float64).reshape(-1, basis.shape[1])
             out[block : block + len(rows)] += rows
@@ -319,7 +363,7 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
-def fit(docs: DataFrame, benchmark: DataFrame, limits: LeakLimits, id_col: str, text_col: str, item_col: str, item_text_col: str) -> Iterator[Detector]:
+def fit(docs: DataFrame, benchmark: DataFrame, limits: LeakLimits, text_col: str, item_col: str, item_text_col: str) -> Iterator[Detector]:
     """Detectors for the shards of the benchmark, with weights over all ``docs``."""
     stated = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
     size = stated.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
@@ -330,9 +374,12 @@ def fit(docs: DataFrame, benchmark: DataFrame, limits: LeakLimits, id_col: str,
         if not queries.words:
             yield Detector(queries, np.ones(len(queries.hashes)), 1.0, np.zeros((len(queries.hashes), 1)), limits)
             continue
-        held, n_docs = document_frequencies(docs, queries, text_col)
+        tag = f"leaks {uuid.uuid4().hex}"
+        passages = counted_passages(docs, queries, limits, text_col, tag)
+        held, n_docs = document_frequencies(passages, len(queries.hashes))
         idf = np.log((n_docs + 1.0) / (held + 1.0)) + 0.05
-        space = latent_space(docs, queries, idf, n_docs, limits, id_col, text_col)
+        space = latent_space(passages, queries, idf, limits)
+        sweep(docs.sparkSession, tag)
         yield Detector(queries, idf, float(idf.mean()), space, limits)
 
 
@@ -345,7 +392,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, limits: LeakLimits = LeakL
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type, item_type = rows.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     out = None
-    for fitted in fit(docs, benchmark, limits, id_col, text_col, item_col, item_text_col):
+    for fitted in fit(docs, benchmark, limits, text_col, item_col, item_text_col):
         detector = docs.sparkSession.sparkContext.broadcast(fitted)
         found = rows.mapInArrow(_finder(detector), f"doc_id {id_type}, item_id {item_type}, cosine double, cover double, answer boolean")
         out = found if out is None else out.unionByName(found)
@@ -368,7 +415,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, limits: LeakLimits = LeakL
     """The rows of ``docs``, with all columns, in which no benchmark item leaks."""
     place = docs.columns.index(text_col)
     out = docs
-    for fitted in fit(docs, benchmark, limits, id_col, text_col, item_col, item_text_col):
+    for fitted in fit(docs, benchmark, limits, text_col, item_col, item_text_col):
         out = out.mapInArrow(_cleaner(docs.sparkSession.sparkContext.broadcast(fitted), place, text_col), docs.schema)
     return out
 
