@@ -2,6 +2,7 @@ import hashlib
 import inspect
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,6 +12,7 @@ import pytest
 import corpus_pipeline
 from tests.llm.common import LONG, NORMAL, no_docs, odd_docs, rows
 from weftline.llm import decontaminate, minhash, suffix_dedup
+from weftline.scratch import materialize
 
 
 def brute_repeats(docs, length=100):
@@ -79,6 +81,35 @@ def test_one_of_two_rows_with_same_id_and_text_stays(spark, parts):
     assert sorted(r["lang"] for r in cut) == ["s", "s", "w", "x", "y", "z", "z"]
 
 
+def test_texts_are_dealt_once_and_shuffles_of_written_tables_are_deleted(spark):
+    """The disk holds one shuffle of the texts, and none of those whose result is written."""
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    docs = [(i, text(400), "en") for i in range(60)]
+    docs += [(100, docs[3][1][:250] + text(50), "de"), (101, None, "fr"), (102, "", None), (None, docs[4][1], "x")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = suffix_dedup.remove_repeats(frame, carry=("text", "lang"))
+        got = {r["doc_id"]: (r["text"], r["lang"], r["n_removed"]) for r in out.collect()}
+        assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # The null id comes first, so document 4 is the copy.
+    assert got == {i: (t, lang, {4: 400, 100: 250}.get(i, 0)) for i, t, lang in docs}
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    held = files()
+    written = materialize(frame.repartition(7, "doc_id"), "test")
+    # Files are deleted beside the running program.
+    for _ in range(100):
+        if files() <= held:
+            break
+        time.sleep(0.1)
+    assert files() <= held
+    assert written.count() == len(docs)
+
+
 def bag(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))

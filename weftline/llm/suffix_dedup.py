@@ -121,8 +121,8 @@ def _merge_spans(owner: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tupl
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, tag: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, uid, text and the extra columns. The uid is 0 if no id repeats; else rows are numbered in a written table."""
-    kept = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(extra)]
+    """doc_id, uid, text and the extra columns (of the text itself: whether it is null). The uid is 0 if no id repeats; else rows are numbered in a written table."""
+    kept = [(F.col(c).isNull() if c == text_col else F.col(c)).alias(f"carry_{i}") for i, c in enumerate(extra)]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *kept)
     if rows.groupBy("doc_id").count().where(F.col("count") > 1).isEmpty():
         return rows.withColumn("uid", F.lit(0).cast("long"))
@@ -338,7 +338,8 @@ _SURROUNDINGS = ("key", "doc_id", "uid", "start", "left", "bytes", "low", "high"
 def _surroundings(keyed: DataFrame, chosen: DataFrame, length: int, gram: int) -> DataFrame:
     """The bytes around each chosen suffix: key (its bucket), doc_id, uid, start, left (bytes before the anchor), bytes, and low and high: the least and most bytes that its strings have before the anchor."""
     per_doc = chosen.groupBy("doc_id", "uid").agg(F.collect_list("start").alias("starts"), F.collect_list("gram").alias("grams"))
-    joined = per_doc.join(keyed.select(F.col("doc_id").alias("d"), F.col("uid").alias("u"), "text"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("uid") == F.col("u")))
+    per_doc = per_doc.select(F.col("doc_id").alias("d"), F.col("uid").alias("u"), "starts", "grams")
+    joined = keyed.join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("uid") == F.col("u")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_arenas()
@@ -368,7 +369,8 @@ def _surroundings(keyed: DataFrame, chosen: DataFrame, length: int, gram: int) -
                     names=["key", "doc_id", "uid", "start", "left", "bytes"],
                 )
 
-    picked = joined.select("doc_id", "uid", "starts", "grams", "text")
+    # With all columns, so that the texts are dealt as ``remove_repeats`` needs them and its exchange is this one.
+    picked = joined.select("doc_id", "uid", "starts", "grams", "text", *keyed.columns[3:])
     around = picked.mapInArrow(cut, "key long, doc_id long, uid long, start int, left int, bytes binary")
     return around.withColumn("low", F.lit(0)).withColumn("high", F.lit(length - gram))
 
@@ -413,7 +415,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
 
 
 def _spans(keyed: DataFrame, length: int, gram: int, tag: str) -> DataFrame:
-    """The same for rows (doc_id, uid, text) of which none repeats id and uid."""
+    """The same for rows (doc_id, uid, text, and any others) of which none repeats id and uid."""
     suffixes = _suffixes(keyed, length, gram).repartition("gram").sortWithinPartitions("gram", "around", "check", "doc_id", "uid", "start")
     settled = materialize(suffixes.mapInArrow(_first_refinement, _SUFFIXES), "refined", tag)
     # The whole surroundings of a copied suffix, or a span settled before.
@@ -438,12 +440,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     ``whole_characters``: a character that loses a byte goes whole, so what remains is valid UTF-8.
     """
     keyed = _keyed(docs, id_col, text_col, tag, carry)
-    spans = _spans(keyed.select("doc_id", "uid", "text"), length, gram, tag)
+    names = [f"carry_{i}" for i in range(len(carry))]
+    keyed = keyed.select("doc_id", "uid", "text", *names)
+    spans = _spans(keyed, length, gram, tag)
     per_doc = spans.groupBy("doc_id", "uid").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     per_doc = per_doc.select(F.col("doc_id").alias("d"), F.col("uid").alias("u"), "starts", "stops")
     joined = keyed.join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("uid") == F.col("u")), "left")
-    names = [f"carry_{i}" for i in range(len(carry))]
     joined = joined.select("doc_id", "uid", "text", "starts", "stops", *names)
+    texts = {n for n, c in zip(names, carry, strict=True) if c == text_col}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_arenas()
@@ -476,13 +480,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
                     pa.array(sizes),
                     pa.array(removed),
                     pa.array(np.bincount(owner, minlength=batch.num_rows)),
-                    *batch.columns[5:],
+                    *(pc.replace_with_mask(batch.column(2), x, pa.scalar(None, pa.string())) if n in texts else x for n, x in zip(names, batch.columns[5:], strict=True)),
                 ],
                 names=["doc_id", "uid", "kept", "n_bytes", "n_removed", "n_spans", *names],
             )
 
     schema = "doc_id long, uid long, kept binary, n_bytes long, n_removed long, n_spans long"
-    types = {f.name: f.dataType.simpleString() for f in joined.schema}
+    types = {f.name: "string" if f.name in texts else f.dataType.simpleString() for f in joined.schema}
     out = joined.mapInArrow(cut, ", ".join([schema, *(f"{n} {types[n]}" for n in names)]))
     return out.select("doc_id", "uid", "kept", "n_bytes", "n_removed", "n_spans", *(F.col(n).alias(c) for n, c in zip(names, carry, strict=True)))
 

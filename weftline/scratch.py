@@ -13,6 +13,8 @@ from urllib.parse import urlsplit
 from pyspark.sql import DataFrame, SparkSession
 
 _TABLES: dict[str, list[str]] = {}
+#: Whether shuffle files go when their query ends, not when the driver happens to collect garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -47,10 +49,15 @@ def local_folder(spark: SparkSession, name: str, tag: str = "") -> str:
 
 
 def materialize(df: DataFrame, name: str, tag: str = "") -> DataFrame:
-    """Write ``df`` as Parquet to shared scratch and return a DataFrame that reads it."""
+    """Write ``df`` as Parquet to shared scratch and return a DataFrame that reads it; the shuffle files of the write are deleted."""
     spark = df.sparkSession
     path = new_path(spark, name, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
