@@ -261,6 +261,33 @@ def test_latent_space_is_that_of_all_documents(spark):
     assert np.linalg.svd(exact.T @ found, compute_uv=False).min() > 0.999
 
 
+def test_pipeline_fits_the_latent_space_on_every_document(spark, tmp_path, monkeypatch):
+    """The space of the pipeline's stage is that of a matrix of all 6,000 documents and the benchmark."""
+    item = " ".join(f"w{i}" for i in range(300))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rng = random.Random(33)
+    docs = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(20)), "en", "s", 1) for i in range(6000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(6)
+    fitted, fit = [], decontaminate.fit
+    monkeypatch.setattr(decontaminate, "fit", lambda *a: (fitted.append(d) or d for d in fit(*a)))
+    assert corpus_pipeline.benchmark_leaks(spark, frame, str(tmp_path)).count() == len(docs)
+    queries, idf = fitted[0].queries, fitted[0].idf
+    feature = {w: int(f) for w, f in zip(item.split(), queries.find(decontaminate.hash_strings(pa.array(item.split()))), strict=True)}
+    matrix = np.zeros((len(docs) + len(queries.words), len(idf)))
+    for row, d in zip(matrix, docs, strict=False):
+        np.add.at(row, [feature[w] for w in d[1].split()], 1)
+    for row, words in zip(matrix[len(docs) :], queries.words, strict=True):
+        np.add.at(row, words, 1)
+    matrix *= idf
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    gram = matrix.T @ matrix
+    limits = decontaminate.LeakLimits()
+    basis, _ = np.linalg.qr(gram @ np.random.default_rng(31337).standard_normal((len(idf), limits.rank + limits.oversampling)))
+    values, vectors = np.linalg.eigh(basis.T @ gram @ basis)
+    exact = basis @ vectors[:, np.argsort(-values)[: limits.rank]]
+    assert np.linalg.svd(exact.T @ (fitted[0].rows / idf[:, None]), compute_uv=False).min() > 0.99
+
+
 def test_short_items_and_shards(spark):
     rng = random.Random(14)
     docs, items, leaked = leak_corpus(rng)
