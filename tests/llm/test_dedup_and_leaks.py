@@ -288,6 +288,47 @@ def test_pipeline_fits_the_latent_space_on_every_document(spark, tmp_path, monke
     assert np.linalg.svd(exact.T @ (fitted[0].rows / idf[:, None]), compute_uv=False).min() > 0.99
 
 
+def test_words_of_documents_are_looked_up_without_hashing_each_in_python(monkeypatch):
+    """The lookup of whole slices finds what the one by hashes finds, and the latter is left to vocabularies larger than the slice."""
+    rng = random.Random(41)
+    words = [f"w{i}" for i in range(300)] + ["é", "日本", "Straße", "x" * 5000]
+    queries = decontaminate.Queries([1, 2], [" ".join(rng.choices(words, k=60)) for _ in range(2)], decontaminate.LeakLimits())
+    texts = [None, "", " ,;", *(", ".join(rng.choices([*words, "W7", "É", "out"], k=rng.randint(0, 200))) + "." for _ in range(60))]
+    column = pa.array(["cut off", *texts], pa.string())[1:]
+    found, bounds = queries.features(column)
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    split = [re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+", t or "") for t in texts]
+    exact = queries.find(decontaminate.hash_strings(pa.array([w.translate(fold) for t in split for w in t])))
+    assert found.dtype == np.int64 and (found == exact).all() and (found < 0).any()
+    assert bounds.tolist() == np.cumsum([0, *map(len, split)]).tolist()
+    hashed = []
+    monkeypatch.setattr(decontaminate, "hash_strings", lambda x, f=decontaminate.hash_strings: hashed.append(len(x)) or f(x))
+    few = pa.array(texts[3:][:1], pa.string())
+    assert (queries.features(few)[0] == found[: len(split[3])]).all()
+    assert (len(split[3]) < len(queries.vocabulary)) == bool(hashed)
+    hashed.clear()
+    queries.features(column)
+    assert not hashed
+
+
+@pytest.mark.parametrize("dense", [0, 7, 90])
+def test_gram_product_against_a_dense_matrix(dense):
+    """Features gathered run by run give what the whole matrix gives, with runs of all lengths and more than one block."""
+    rng = np.random.default_rng(43)
+    matrix = rng.integers(1, 4, (2500, 90)) * (rng.random((2500, 90)) < rng.random(90) ** 4)
+    matrix[np.arange(2500), rng.integers(0, 90, 2500)] = 1
+    row, columns = np.nonzero(matrix)
+    idf, basis = rng.random(90) + 0.1, rng.standard_normal((90, 12)).astype(np.float32)
+    unit = matrix * idf / np.linalg.norm(matrix * idf, axis=1, keepdims=True)
+    out = np.ones(basis.shape)
+    decontaminate._gram_product(columns.astype(np.int32), matrix[row, columns].astype(np.int32), np.bincount(row).astype(np.int32), idf, rng.permutation(90)[:dense], basis, out)
+    assert np.allclose(out, 1 + unit.T @ (unit @ basis), atol=1e-3)
+    runs, index = np.repeat([4, 0, 2, 5], [1, 3000, 3, 1]), rng.integers(0, 90, 3005)
+    sums, value = np.ones((6, 12)), rng.random(3005).astype(np.float32)
+    decontaminate._add_runs(sums, runs, index, value, basis)
+    assert np.allclose(sums, 1 + np.stack([(value[runs == r, None] * basis[index[runs == r]]).sum(0) for r in range(6)]), atol=1e-3)
+
+
 def test_short_items_and_shards(spark):
     rng = random.Random(14)
     docs, items, leaked = leak_corpus(rng)

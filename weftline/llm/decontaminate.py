@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ class LeakLimits:
     shard_bytes: int = 4 << 20
     passage_words: int = 64
     #: Features whose products are dense; a matter of speed alone.
-    dense_features: int = 512
+    dense_features: int = 256
     #: Blocks of words, and the widths of the windows in blocks.
     block: int = 8
     widths: tuple[int, ...] = (3, 6, 12)
@@ -64,7 +65,9 @@ class Queries:
     def __init__(self, ids: list, texts: list, limits: LeakLimits):
         words, bounds = split_words(plain_strings(pa.array(texts, pa.string())), _FOLD, _SEPARATORS)
         codes, distinct = encode_words(words)
-        self.hashes, place = np.unique(hash_strings(distinct), return_inverse=True)
+        self.hashes, first, place = np.unique(hash_strings(distinct), return_index=True, return_inverse=True)
+        #: The words by feature.
+        self.vocabulary = distinct.take(pa.array(first))
         codes = place[codes] if len(codes) else codes
         self.items, self.words = [], []
         #: Items too short for a window, by their words.
@@ -89,11 +92,32 @@ class Queries:
     def features(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Feature of every word of the texts, and each text's offsets."""
         words, bounds = split_words(plain_strings(column), _FOLD, _SEPARATORS)
+        if len(self.vocabulary) <= len(words):
+            return pc.fill_null(pc.index_in(words, value_set=self.vocabulary), -1).to_numpy().astype(np.int64), bounds
+        # A larger vocabulary isn't hashed anew for each slice.
         codes, distinct = encode_words(words)
         found = self.find(hash_strings(distinct))
         return (found[codes] if len(codes) else np.zeros(0, np.int64)), bounds
 
 
+def _add_runs(out: np.ndarray, runs: np.ndarray, index: np.ndarray, value: np.ndarray, matrix: np.ndarray) -> None:
+    """Adds the sum of ``value * matrix[index]`` over each run of equal neighbours to that row of ``out``; no two runs are alike.
+
+    Runs of the same length are multiplied at once, some 2,048 rows of ``matrix`` at a time.
+    """
+    firsts = np.flatnonzero(running_starts(runs))
+    lengths = np.diff(np.append(firsts, len(runs)))
+    by = np.argsort(lengths, kind="stable")
+    cuts = np.append(np.flatnonzero(running_starts(lengths[by])), len(by)).tolist()
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        length = int(lengths[by[a]])
+        step = max(1, 2048 // length)
+        for i in range(a, b, step):
+            begin = firsts[by[i : min(i + step, b)]]
+            at = begin[:, None] + np.arange(length)
+            out[runs[begin]] += np.matmul(value[at][:, None, :], matrix[index[at]])[:, 0]
+
+
 def _gram_product(columns: np.ndarray, times: np.ndarray, sizes: np.ndarray, idf: np.ndarray, often: np.ndarray, basis: np.ndarray, out: np.ndarray) -> None:
     """Adds A^T (A basis) to ``out`` for the unit TF-IDF rows of passages: their features one after the other, the times of each, and the features a passage.
 
@@ -117,13 +141,11 @@ def _gram_product(columns: np.ndarray, times: np.ndarray, sizes: np.ndarray, idf
         block[row[common], place[common]] = value[common]
         image = block @ dense
         rest = np.flatnonzero(place < 0)
-        row, column, value = row[rest], columns[low:high][rest], value[rest, None]
-        firsts = np.flatnonzero(running_starts(row))
+        row, column, value = row[rest], columns[low:high][rest], value[rest]
         if len(rest):
-            image[row[firsts]] += np.add.reduceat(value * basis[column], firsts, axis=0)
+            _add_runs(image, row, column, value, basis)
             by = np.argsort(column, kind="stable")
-            firsts = np.flatnonzero(running_starts(column[by]))
-            out[column[by][firsts]] += np.add.reduceat(value[by] * image[row[by]], firsts, axis=0)
+            _add_runs(out, column[by], row[by], value[by], image)
         dense_out += block.T @ image
     out[often] += dense_out
 
@@ -301,11 +323,7 @@ class Detector:
         packed = np.concatenate([[0], np.cumsum(need)])
         sums = np.zeros((packed[-1] + 1, self.rows.shape[1]), np.float32)
         own = packed[token_block[chosen]]
-        firsts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        for i in range(0, len(firsts), 4096):
-            low = firsts[i]
-            high = firsts[i + 4096] if i + 4096 < len(firsts) else len(chosen)
-            sums[own[firsts[i : i + 4096]] + 1] = np.add.reduceat(self.rows[features[chosen[low:high]]], firsts[i : i + 4096] - low, axis=0)
+        _add_runs(sums[1:], own, features[chosen], np.ones(len(chosen), np.float32), self.rows)
         total = np.cumsum(sums, axis=0, dtype=np.float64)
         best: dict[tuple[int, int], list] = {}
         for at, end in windows:
